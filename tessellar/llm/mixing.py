@@ -93,3 +93,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...
     rows = docs.select(F.struct(*own).alias("_row"), *node, token_count(text_or_empty(text_col)).alias("n_tokens"))
     extra = F.when(F.col("whole") < epochs, chosen.cast("long")).otherwise(0)
     return rows.join(table, names).withColumn("_h", h).select("_row.*", "n_tokens", (F.col("whole") + extra).cast("long").alias("copies"))
+
+
+def mixture(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...], float], **options) -> DataFrame:
+    """The rows that mix() takes, each as often as it takes them, with the columns of docs."""
+    taken = mix(docs, levels, weights, **options).filter("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

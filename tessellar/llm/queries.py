@@ -4,31 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, mixing, neighbours, packing, quality, tokens, warc
+from . import fingerprints, lines, mixing, near_dups, neighbours, packing, quality, repeats, settings, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Sources are parted into domains by the first digit of their name's md5, as a stand-in for a catalogue of sources.
-DOMAINS = (("web", "0123456"), ("books", "789ab"), ("code", "cdef"))
-WEIGHTS = {("web",): 2.0, ("books",): 1.0, ("code",): 1.0, ("web", "en"): 3.0, ("books", "en"): 2.0, ("web", "en", "src0"): 4.0}
-BOILERPLATE_SITES = 3
-
-
-def levels() -> dict:
-    first = F.substring(F.md5(F.coalesce(F.col("source").cast("string"), F.lit(""))), 1, 1)
-    domain = F.when(first.isin(*DOMAINS[0][1]), DOMAINS[0][0]).when(first.isin(*DOMAINS[1][1]), DOMAINS[1][0]).otherwise(DOMAINS[2][0])
-    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), levels(), WEIGHTS, fraction=0.5, epochs=4, seed=17)
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), settings.levels(), settings.WEIGHTS, fraction=0.5, epochs=4, seed=17)
     return mixed.select("doc_id", "n_tokens", "copies")
 
 
@@ -38,14 +31,14 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.drop_boilerplate(_table(spark, sf_dir, "documents"), threshold=BOILERPLATE_SITES)
+    kept = lines.drop_boilerplate(_table(spark, sf_dir, "documents"), threshold=settings.BOILERPLATE_SITES)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, threshold=0.3).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+    return quality.score(docs, model, threshold=settings.QUALITY).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +58,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.lookup(warc.write_archive(pages, least=0), pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_source_mixing, op3_nearest_neighbours, op4_line_dedup, op5_quality, op6_fingerprints, op7_token_counts, op8_best_fit_packing, op9_warc]
-    return {f.__name__: f for f in found}
+    found = [op1_substring_dedup, op2_source_mixing, op3_nearest_neighbours, op4_line_dedup, op5_quality, op6_fingerprints, op7_token_counts, op8_best_fit_packing, op9_warc, op10_minhash_near_dedup]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

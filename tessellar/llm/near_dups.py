@@ -42,21 +42,21 @@ def super_minhash(elements: np.ndarray, m: int) -> np.ndarray:
     permutation, and the least value stays. All elements take a step at a time; once every position holds less than the
     next step could give, no later step can change anything and the rest is left out."""
     values = np.full(m, np.inf)
-    n, rows, order = len(elements), np.arange(len(elements)), None
+    rows, order, low, half = np.arange(len(elements)), None, np.uint64(0xFFFFFFFF), np.uint64(32)
     for j in range(m):
         z = mix(elements + np.uint64((2 * j + 1) * _GOLD & 0xFFFFFFFFFFFFFFFF))
-        at = j + (z % np.uint64(m - j)).astype(np.intp)
-        r = (mix(z + np.uint64(_GOLD)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        at = j + ((z & low) * np.uint64(m - j) >> half).astype(np.intp)
+        r = (z >> half) * 2.0**-32
         if j == 0:
             first = place = at
         else:
             if order is None:
-                order = np.tile(np.arange(m, dtype=np.uint16), (n, 1))
+                order = np.empty((len(elements), m), np.uint16)
+                order[:] = np.arange(m, dtype=np.uint16)
                 order[rows, first] = 0
                 order[:, 0] = first
             place = order[rows, at].astype(np.intp)
             order[rows, at] = order[:, j]
-            order[:, j] = place
         np.minimum.at(values, place, r + j)
         if values.max() < j + 1:
             break
@@ -116,18 +116,73 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y"), "u long, v long", step)
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = 40, rows: int = 6, small: int = 16) -> DataFrame:
+def _across(members: pa.Table, loose: pa.Table, size: int, percent: int) -> tuple[list[int], list[int]]:
+    """Links between the loose texts and members of other components: for each loose text and component, one."""
+    ids, comps = members.column("id").to_pylist(), np.asarray(members.column("component"))
+    texts = members.column("text").to_pylist()
+    found = [shingles(t, size) for t in texts]
+    sizes = np.array([len(x) for x in found])
+    every, owner = np.concatenate(found), np.repeat(np.arange(len(found)), sizes)
+    by = np.argsort(every, kind="stable")
+    every, owner = every[by], owner[by]
+    us: list[int] = []
+    vs: list[int] = []
+    for u, comp, text in zip(loose.column("id").to_pylist(), loose.column("component").to_pylist(), loose.column("text").to_pylist()):
+        own = shingles(text, size)
+        lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        n = hi - lo
+        hits = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(owner[hits], minlength=len(ids))
+        near = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (comps != comp))
+        exact, linked = None, set()
+        for k in near.tolist():
+            if comps[k] in linked:
+                continue
+            exact = exact or shingle_set(text, size)
+            other = shingle_set(texts[k], size)
+            both = len(exact & other)
+            if 100 * both >= percent * (len(exact) + len(other) - both):
+                linked.add(comps[k])
+                us.append(u)
+                vs.append(ids[k])
+    return us, vs
+
+
+def across_components(group: DataFrame, found: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 1000) -> DataFrame:
+    """Links that the pivots have not shown, within groups of texts (id, group) that share large buckets.
+
+    In each group the largest component is left as it is; every text outside it is compared with all texts of the group,
+    block by block: a task has some hundred loose texts and `block` others, and counts common shingles by one index.
+    """
+    at = stage_table(group.join(found, "id", "left").select("id", "group", F.coalesce("component", "id").alias("component")), "grouped")
+    parts = at.groupBy("group", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("group").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("parts > 1")
+    main = main.select("group", "main", F.ceil(F.col("all") / block).cast("int").alias("mb"), F.ceil((F.col("all") - F.col("most")) / (block // 4)).cast("int").alias("lb"))
+    open_ = at.join(main, "group").join(texts, "id")
+    pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    spread = lambda df, mine, other: df.withColumn(mine, pick(mine)).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    keys = ["group", "mb", "lb"]
+
+    def compare(members: pa.Table, loose: pa.Table) -> pa.Table:
+        us, vs = _across(members, loose, size, percent) if members.num_rows and loose.num_rows else ([], [])
+        return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    members, loose = spread(open_, "mb", "lb"), spread(open_.filter(F.col("component") != F.col("main")), "lb", "mb")
+    return members.groupBy(*keys).cogroup(loose.groupBy(*keys)).applyInArrow(compare, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 5, small: int = 16) -> DataFrame:
     """Groups of texts linked by 100 * intersection >= percent * union of their shingle sets.
 
     Returns a row for each row of docs: the id, n_shingles, component_id (the smallest id reachable by links, itself
     included), kept (id = component_id). Texts without words have no shingles and link to nothing. Rows that share an
     id are one node. A row with a null id stands alone: component_id null, kept true. Other columns are left out.
 
-    Equal sets are one class, of which only the smallest id goes on. Classes that share a band are candidates; with 40
-    bands of 6 a pair at 80 % escapes once in 200,000. Buckets of up to `small` classes are verified pair by pair. In
-    larger ones a pivot is verified against all others, then more pivots (four times as many each round) against
-    those that are still in another component, until each bucket is one component or all its pairs have been verified:
-    no link between components is missed, and a bucket of alike texts needs as many checks as it has members.
+    Equal sets are one class, of which only the smallest id goes on. Classes that share a band are candidates; with 32
+    bands of 5 a pair at 80 % escapes once in 300,000. Buckets of up to `small` classes are verified pair by pair. In
+    larger ones all are verified against a pivot, the class that stands in most of them and so is likely the original;
+    what that leaves apart is compared with the whole group in blocks (across_components). No link between components
+    is missed, and a group of alike texts needs as many checks as it has members, not pairs.
     """
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
     known = rows_in.filter("id is not null")
@@ -140,30 +195,25 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     keyed = sets.join(member.filter("id = rep").select("id").distinct(), "id", "left_semi").select("id", F.explode("bands").alias("key")).distinct()
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sig")).filter("n > 1")
     buckets = buckets.groupBy("n", "lo", "hi", "sig").agg(F.min("key").alias("key"))  # the same classes in several bands count once
-    inside = stage_table(keyed.join(buckets.select("key", "n", "lo"), "key"), "buckets")
-    few = inside.filter(F.col("n") <= small)
+    inside = stage_table(keyed.join(buckets.select("key", "n"), "key"), "buckets")
+    few, many = inside.filter(F.col("n") <= small), inside.filter(F.col("n") > small)
     pairs = few.alias("p").join(few.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("u"), F.col("q.id").alias("v"))
-    many = inside.filter(F.col("n") > small)
-    pairs = stage_table(pairs.unionAll(many.filter("id != lo").select(F.col("lo").alias("u"), F.col("id").alias("v"))).distinct(), "pairs")
+    weight = many.groupBy("id").agg(F.sum("n").alias("weight"))
+    pivot = many.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
+    star = stage_table(many.join(pivot, "key").filter("id != pivot").select("id", "pivot").distinct(), "stars-of-buckets")
+    pairs = stage_table(pairs.unionAll(star.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))).distinct(), "pairs")
     wanted = inside.select("id").distinct()
     if wanted.count() <= 1_000_000:  # broadcast only below this many ids, of eight bytes
         wanted = F.broadcast(wanted)
     texts = stage_table(known.join(wanted, "id", "left_semi"), "candidate-texts")
     links = stage_table(verify(pairs, texts, size, percent).unionAll(same), "verified")
-    found, pivots, complete = components(links), 4, False
-    while True:
-        label = many.join(found, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component"))
-        parted = label.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c != d").select("key")
-        open_ = stage_table(label.join(parted, "key"), "open-buckets")
-        most = open_.agg(F.max("n")).first()[0]
-        if most is None or complete:
-            break
-        complete = pivots >= most
-        picked = open_.filter(F.pmod(F.xxhash64(F.lit(5), "id"), F.ceil(F.col("n") / pivots)) == 0).select("key", F.col("id").alias("p"), F.col("component").alias("pc"))
-        again = open_.join(picked, "key").filter(F.col("component") != F.col("pc")).select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).distinct()
-        more = verify(again, texts, size, percent)
-        links = stage_table(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more), "verified")
-        found, pivots = components(links), pivots * 4
+    found = components(links)
+    if not star.isEmpty():
+        tied = components(star.select(F.col("id").alias("u"), F.col("pivot").alias("v")))
+        group = many.select("id").distinct().join(tied, "id", "left").select("id", F.coalesce("component", "id").alias("group"))
+        more = stage_table(across_components(group, found, texts, size, percent), "verified-across")
+        if not more.isEmpty():
+            found = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more))
     grouped = member.groupBy("id").agg(F.min("rep").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = signed_.select("id", "n").join(grouped, "id", "left")
     component = F.coalesce("component", "id")

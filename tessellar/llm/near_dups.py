@@ -168,6 +168,7 @@ def across_components(group: DataFrame, found: DataFrame, texts: DataFrame, size
         return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     members, loose = spread(open_, "mb", "lb"), spread(open_.filter(F.col("component") != F.col("main")), "lb", "mb")
+    loose = loose.select(*[F.col(c).alias(c) for c in loose.columns])  # columns of its own, for the cogroup
     return members.groupBy(*keys).cogroup(loose.groupBy(*keys)).applyInArrow(compare, "u long, v long")
 
 

@@ -249,7 +249,7 @@ class Evaluator:
         """Repeat rows for the evaluation times from first to last (both in microseconds, inclusive)."""
         lo = F.greatest(F.ceil((first - self.start) / self.step), F.lit(0))
         hi = F.least(F.floor((last - self.start) / self.step), F.lit((self.end - self.start) // self.step))
-        return df.withColumns({"_a": lo.cast("long"), "_b": hi.cast("long")}).filter("_a <= _b").withColumn("t", F.explode(F.sequence("_a", "_b")) * self.step + self.start).drop("_a", "_b")
+        return df.withColumns({"_a": lo.cast("long"), "_b": hi.cast("long")}).filter("_a <= _b").withColumn("_k", F.explode(F.sequence("_a", "_b"))).withColumn("t", F.col("_k") * self.step + self.start).drop("_a", "_b", "_k")
 
     def _order(self):
         return ["_t", *[f"_tie{k}" for k in range(len(self.m.ties))]]

@@ -14,7 +14,7 @@ from ..operators import series
 from ..plans.durations import micros
 from ..plans.grammar import ParseError
 
-_TOKEN = re.compile(r"\s*(?:(?P<str>'[^']*'|\"[^\"]*\")|(?P<num>-?\d+(?:\.\d+)?(?![\w.*]))|(?P<path>[\w*?{}\[\]\-.]+)|(?P<sign>[(),]))")
+_TOKEN = re.compile(r"\s*(?:(?P<str>'[^']*'|\"[^\"]*\")|(?P<num>-?\d+(?:\.\d+)?(?![\w.*]))|(?P<path>(?:[\w*?\[\]\-.]|\{[^}]*\})+)|(?P<sign>[(),]))")
 
 
 def parse(text: str):

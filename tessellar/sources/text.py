@@ -32,7 +32,7 @@ def line_protocol(lines: DataFrame, precision: str = "ns", text_col: str = "valu
     part = lambda n: F.regexp_extract("_l", _LINE, n)
     ok = F.col("_l").rlike(_LINE) & F.col("_l").contains("=")
     raw = F.when(part(3) != "", part(3).cast("long"))
-    us = F.floor(raw / 1000) if PRECISION[precision] == 1_000 else raw if precision in ("us", "u") else raw * _MULTIPLE[precision]
+    us = F.call_function("div", raw - F.pmod(raw, F.lit(1000)), F.lit(1000)) if PRECISION[precision] == 1_000 else raw if precision in ("us", "u") else raw * _MULTIPLE[precision]
     name = F.regexp_replace(F.regexp_extract(part(1), r"^((?:[^\\,]|\\.)+)", 1), r"\\(.)", "$1")
     tags = F.regexp_replace(part(1), r"^(?:[^\\,]|\\.)+,?", "")
     return rows.select(F.when(ok, name).alias("measurement"), F.when(ok, _pairs(tags, False)).alias("tags"), F.when(ok, _pairs(part(2), True)).alias("fields"), F.when(ok, us.cast("long")).alias("ts_us"), F.when(~ok, F.col("_l")).alias("bad"))

@@ -16,25 +16,31 @@ def read(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per
     return (r.option("pathGlobFilter", pattern) if pattern else r).load(path)
 
 
+def _timed(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
+    """Event time with a watermark, which asks for a timestamp with a zone."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+
+
 def tumbling(stream: DataFrame, ts: str, size: str, keys: list[str], aggs: list[Column], lateness: str = "0 seconds") -> DataFrame:
-    w = stream.withWatermark(ts, lateness).groupBy(F.window(ts, size), *keys).agg(*aggs)
+    w = _timed(stream, ts, lateness).groupBy(F.window(ts, size), *keys).agg(*aggs)
     return _flat(w)
 
 
 def sliding(stream: DataFrame, ts: str, size: str, slide: str, keys: list[str], aggs: list[Column], lateness: str = "0 seconds") -> DataFrame:
     """Every window that holds the row, not the latest only."""
-    return _flat(stream.withWatermark(ts, lateness).groupBy(F.window(ts, size, slide), *keys).agg(*aggs))
+    return _flat(_timed(stream, ts, lateness).groupBy(F.window(ts, size, slide), *keys).agg(*aggs))
 
 
 def session(stream: DataFrame, ts: str, gap: str, keys: list[str], aggs: list[Column], lateness: str = "0 seconds") -> DataFrame:
     """Merged sessions; their end is the last row's time, as max(ts)."""
-    w = stream.withWatermark(ts, lateness).groupBy(F.session_window(ts, gap), *keys).agg(F.max(ts).alias("_last"), *aggs)
+    w = _timed(stream, ts, lateness).groupBy(F.session_window(ts, gap), *keys).agg(F.max(ts).alias("_last"), *aggs)
     return _flat(w, "session_window").withColumn("_wend", F.col("_last")).drop("_last")
 
 
 def _flat(df: DataFrame, name: str = "window") -> DataFrame:
     us = lambda c: F.unix_micros(c.cast("timestamp"))
-    return df.select(us(F.col(f"{name}.start")).alias("_wstart_us"), us(F.col(f"{name}.end")).alias("_wend_us"), *[c for c in df.columns if c != name]) if name == "window" else df.select(us(F.col(f"{name}.start")).alias("_wstart_us"), *[c for c in df.columns if c != name])
+    ends = [us(F.col("window.end")).alias("_wend_us")] if name == "window" else []
+    return df.select(us(F.col(f"{name}.start")).alias("_wstart_us"), *ends, *[c for c in df.columns if c != name])
 
 
 def view(stream: DataFrame, keys: list[str], aggs: list[Column], where: Column | None = None) -> DataFrame:
@@ -45,8 +51,8 @@ def view(stream: DataFrame, keys: list[str], aggs: list[Column], where: Column |
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, within: str, lateness: str = "1 hour") -> DataFrame:
     """Rows of two streams with equal keys whose right time is at most `within` after the left one."""
-    a = left.withWatermark(left_ts, lateness).alias("a")
-    b = right.withWatermark(right_ts, lateness).alias("b")
+    a = _timed(left, left_ts, lateness).alias("a")
+    b = _timed(right, right_ts, lateness).alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     t, u = F.col(f"a.{left_ts}"), F.col(f"b.{right_ts}")
     return a.join(b, [*on, u >= t, u <= t + F.expr(f"interval {within}")])

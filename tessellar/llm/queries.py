@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, mixing, near_dups, neighbours, packing, quality, repeats, settings, tokens, warc
+from . import fingerprints, lines, mixing, near_dups, neighbours, oracles, packing, quality, repeats, settings, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are held against brute force in tests/llm."""
+    return {
+        "op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op2_source_mixing": oracles.source_mixing(0.5, 4, 17), "op4_line_dedup": oracles.LINE_DEDUP, "op10_minhash_near_dedup": oracles.NEAR_DEDUP,
+    } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

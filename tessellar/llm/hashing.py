@@ -16,14 +16,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered by each worker; a full table starts anew."""
+    """64-bit hashes of words (bytes), remembered by each worker; a full table becomes the old one, which is asked first."""
 
-    most = 1_000_000
+    most, old = 200_000, {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self.old.get(word)
+        if value is None:
+            value = xxhash.xxh3_64_intdigest(word)
+        self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -30,6 +30,16 @@ _SPLITS = {
 }
 
 
+class Cache(dict):
+    """What a worker remembers: a full table becomes the old one, whose entries are taken over when they are met again."""
+
+    old: dict = {}
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 class PreTokens:
     """A tokenizer file with its worker cache. pieces() gives a text's pre-tokens, or None where only the library may split it."""
 
@@ -53,8 +63,7 @@ class PreTokens:
             self.split = _SPLITS["word"].findall
         else:
             self.split = None  # an unknown kind: the library does all
-        self.counts: dict[str, int] = {}
-        self.packed: dict[str, bytes] = {}
+        self.counts, self.packed = Cache(), Cache()
 
     @classmethod
     def of(cls, path: str) -> PreTokens:
@@ -70,12 +79,15 @@ class PreTokens:
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add(self, table: dict, found: list[str], make, most: int) -> None:
-        """Encode the pre-tokens that table lacks. A full table starts anew, so memory stays bounded."""
+    def add(self, table: Cache, found: list[str], make, most: int) -> None:
+        """Encode the pre-tokens that table lacks. It holds `most` entries, and the old one as many."""
         new = [p for p in set(found) if p not in table]
         if len(table) + len(new) > most:
-            table.clear()
+            table.turn()
             new = list(set(found))
+        known = {p: table.old[p] for p in new if p in table.old}
+        table.update(known)
+        new = [p for p in new if p not in known]
         for p, ids in zip(new, self.ids(new)):
             table[p] = make(ids)
 
@@ -130,7 +142,7 @@ def frequent_pretokens(docs: DataFrame, vocab: str, text_col: str = "text", size
     return dict(zip(found, map(len, PreTokens.of(vocab).ids(found)))) if found else {}
 
 
-def count_tokens(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, frequent: int = 32_768, cache: int = 1_000_000) -> DataFrame:
+def count_tokens(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, frequent: int = 32_768, cache: int = 200_000) -> DataFrame:
     """Tokens of every whole text, as the tokenizer file `vocab` counts them without added begin or end tokens.
 
     Returns a row for each row of docs: the id as it is (null too), n_bytes (UTF-8), n_tokens, over_limit

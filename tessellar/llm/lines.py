@@ -48,7 +48,8 @@ def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", site_col: str =
     body = F.xxhash64(text_or_empty(text_col)), F.xxhash64(F.lit("body"), text_or_empty(text_col))
     # Lines are looked up by text, not by id: copies share one lookup.
     lines = docs.select(body[0].alias("x"), body[1].alias("y"), F.explode(F.array_distinct(F.split(text_or_empty(text_col), "\n"))).alias("line")).select("x", "y", F.trim("line").alias("line")).filter("line != ''").select("x", "y", *_key(F.col("line")))
-    found = lines.join(spread, ["a", "b"]).groupBy("x", "y").agg(F.collect_set(F.struct("a", "b")).alias("bad"))
+    # Written first, so that the join below has plain exchanges on both sides and a text with very many copies is split.
+    found = stage_table(lines.join(spread, ["a", "b"]).groupBy("x", "y").agg(F.collect_set(F.struct("a", "b")).alias("bad")), "lines-of-texts")
     rows = docs.select(F.struct(*own).alias("_row"), body[0].alias("x"), body[1].alias("y")).join(found, ["x", "y"], "left")
     parts = F.when(F.col(f"_row.{text_col}").isNotNull(), F.split(F.col(f"_row.{text_col}"), "\n"))
     kept = F.when(F.col("bad").isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.coalesce(F.array_contains("bad", F.struct(*_key(F.trim(x)))), F.lit(False))))

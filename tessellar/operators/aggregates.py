@@ -80,3 +80,12 @@ def state_stats(df: DataFrame, keys: list[str], ts: str, state: str, ties: list[
 
     runs = assign_state(df.withColumn("_t", micros(ts)), keys, F.col(state), list(ties))
     return runs.groupBy(*keys, "_g").agg(F.min("_s").alias("state"), F.count("*").alias("statecount"), ((F.max("_t") - F.min("_t")) / 1000).cast("long").alias("stateduration_ms")).drop("_g")
+
+
+def sketch(df: DataFrame, keys: list[str], column: str, lg_k: int = 14) -> DataFrame:
+    """A HyperLogLog sketch for each group; sketches of parts merge without the rows."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(column, lg_k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))

@@ -31,3 +31,13 @@ def soft_delete(old: DataFrame, where: Column, flag: str = "_deleted") -> DataFr
 def upsert(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """New rows take the place of old ones with their keys."""
     return old.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
+def difference(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Change events between two versions: keys, op (insert, update, delete), and the rows before and after."""
+    rest = [c for c in new.columns if c not in keys]
+    a = old.select(*keys, F.struct(*rest).alias("before"))
+    b = new.select(*keys, F.struct(*rest).alias("after"))
+    both = a.join(b, keys, "full")
+    op = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").when(~F.col("before").eqNullSafe(F.col("after")), "update")
+    return both.withColumn("op", op).filter("op is not null").select(*keys, "op", "before", "after")

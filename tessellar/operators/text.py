@@ -92,3 +92,14 @@ def boolean(toks: DataFrame, all_of: list[str] = (), any_of: list[str] = (), non
 def exact_hits(toks: DataFrame, terms: list[str]) -> DataFrame:
     """A point for each exact occurrence of a term."""
     return toks.filter(F.col("token").isin(list(terms))).groupBy("doc").agg(F.count("*").cast("double").alias("score"))
+
+
+def chunks(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int = 0) -> DataFrame:
+    """doc, chunk, text: runs of `size` words, each starting size - overlap words after the one before; the last may be
+    short. Texts without words have none."""
+    words = F.filter(F.split(F.coalesce(text_col, F.lit("")), r"\s+"), lambda w: w != "")
+    rows = docs.select(F.col(id_col).alias("doc"), words.alias("_w")).filter(F.size("_w") > 0)
+    step = size - overlap
+    count = F.greatest(F.lit(1), F.ceil((F.size("_w") - overlap) / step).cast("int"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), count - 1)))
+    return rows.select("doc", F.col("chunk").cast("long").alias("chunk"), F.array_join(F.slice("_w", F.col("chunk") * step + 1, F.lit(size)), " ").alias("text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import udfs
 from ..functions.scalars import micros
-from ..operators import search, text, vector
+from ..operators import aggregates, changes, search, text, vector
 from ..sources import text as lines
 from ..sources import vectors
 from ..streaming import views
@@ -313,3 +313,43 @@ def _(e, sf):
     spans = e.catalog.frame("events").select(F.col("user_id").alias("trace_id"), (micros("ts") * 1000).alias("start"), F.col("value"), F.create_map(F.lit("kind"), "event_type").alias("attributes"))
     spans = spans.withColumn("end", F.col("start") + (F.col("value") * 1e9).cast("decimal(28,0)").cast("long")).filter(F.col("attributes")["kind"].isin("view", "click"))
     return spans.groupBy(F.col("trace_id").alias("user_id")).agg(F.count("*").alias("spans"), F.round(F.sum((F.col("end") - F.col("start")) / 1e9), 6).alias("busy"))
+
+
+registered("nql_last_days", "nql", "count events in the last 7 days where value is above 10", "SELECT count(*) AS count FROM events WHERE ts >= TIMESTAMP '2024-01-24' AND value > 10")
+registered("nql_measure_window", "nql", "average value of events every 6 hours by event_type", f"SELECT event_type, {T} // {6 * H} * {6 * H} AS _wstart, {T} // {6 * H} * {6 * H} + {6 * H} AS _wend, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2, 3")
+registered("cql_query", "cql", "SELECT event_id, value FROM events WHERE user_id = 7 AND value >= 20 ORDER BY event_id DESC LIMIT 9 ALLOW FILTERING", "SELECT event_id, round(value, 6) AS value FROM events WHERE user_id = 7 AND value >= 20 ORDER BY event_id DESC LIMIT 9")
+registered("mysql_query", "mysql", "SELECT `o_orderstatus`, COUNT(*) AS n FROM `orders` GROUP BY `o_orderstatus` ORDER BY n DESC, `o_orderstatus` LIMIT 1, 2", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_orderstatus LIMIT 2 OFFSET 1")
+registered("postgres_query", "postgres", "SELECT \"o_orderkey\", o_totalprice::bigint AS p FROM orders WHERE o_orderpriority ILIKE '%urgent' AND o_totalprice > 250000", "SELECT o_orderkey, cast(trunc(o_totalprice) AS BIGINT) AS p FROM orders WHERE o_orderpriority ILIKE '%urgent' AND o_totalprice > 250000")
+registered("graphite_moving_median", "graphite", "movingMedian(summarize(events.view.*, '1d', 'sum'), 3)",
+           f"WITH a AS (SELECT concat_ws('.', 'events', event_type, user_id::VARCHAR) AS series, {T} // {D} * {D} AS t, sum(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2), b AS (SELECT series, t, median(v) OVER (PARTITION BY series ORDER BY t ROWS 2 PRECEDING) AS v, row_number() OVER (PARTITION BY series ORDER BY t) AS r FROM a) SELECT series, t, round(v, 6) AS v FROM b WHERE r >= 3")
+
+
+@query("hll_sketch_merge", "SELECT event_type, true AS near FROM events GROUP BY 1")
+def _(e, sf):
+    """Sketches of each day merged; the estimate is within 5 % of the exact count."""
+    ev = e.catalog.frame("events").withColumn("day", F.to_date("ts"))
+    merged = aggregates.merge_sketches(aggregates.sketch(ev, ["event_type", "day"], "user_id"), ["event_type"])
+    exact = ev.groupBy("event_type").agg(F.count_distinct("user_id").alias("n"))
+    return merged.join(exact, "event_type").select("event_type", (F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("near"))
+
+
+@query("cdc_difference", "SELECT r_regionkey, CASE WHEN r_regionkey = 99 THEN 'insert' WHEN r_name = 'ASIA' THEN 'update' ELSE 'delete' END AS op FROM (SELECT * FROM region UNION ALL SELECT 99, 'Moon') WHERE r_regionkey = 99 OR r_name IN ('ASIA', 'AFRICA')")
+def _(e, sf):
+    old = e.catalog.frame("region")
+    e.query("UPDATE region SET r_name = 'East' WHERE r_name = 'ASIA'", "lql")
+    e.query("DELETE FROM region WHERE r_name = 'AFRICA'", "lql")
+    e.query("INSERT INTO region (r_regionkey, r_name) VALUES (99, 'Moon')", "lql")
+    return changes.difference(old, e.catalog.frame("region"), ["r_regionkey"]).select("r_regionkey", "op")
+
+
+@query("text_chunks", "WITH w AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS l FROM documents), c AS (SELECT doc, l, unnest(range(0, greatest(1, cast(ceil((len(l) - 20) / 80.0) AS BIGINT)))) AS chunk FROM w WHERE len(l) > 0) SELECT doc, chunk, array_to_string(l[chunk * 80 + 1:chunk * 80 + 100], ' ') AS text FROM c")
+def _(e, sf):
+    return text.chunks(e.catalog.frame("documents"), "doc_id", "text", 100, 20)
+
+
+@query("trace_tree", "SELECT a.event_id AS span_id, b.event_id AS parent_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id = (a.event_id - a.event_id % 50) AND a.event_id <> b.event_id")
+def _(e, sf):
+    """Spans with their parents, by a self-join within the trace."""
+    spans = e.catalog.frame("events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), (F.col("event_id") - F.col("event_id") % 50).alias("parent_span_id"))
+    parents = spans.select("trace_id", F.col("span_id").alias("parent_id"))
+    return spans.join(parents, [spans.trace_id == parents.trace_id, spans.parent_span_id == parents.parent_id]).filter("span_id != parent_id").select("span_id", "parent_id")

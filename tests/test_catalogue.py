@@ -16,6 +16,8 @@ def test_names_agree():
 def test_filters_and_columns_reach_the_scan(spark):
     from tessellar.suites.base import engine
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = engine(spark, "/root/testdata/sf0.001").explain("SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'O'", "lql")
-    assert "PushedFilters: [IsNotNull(o_orderstatus), IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)" in plan
+    pushed = plan[plan.rindex("PushedFilters:") :]
+    assert "GreaterThan(o_totalprice,1000.0)" in pushed and "EqualTo(o_orderstatus,O)" in pushed
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan

@@ -18,7 +18,7 @@ class Table:
 
 
 class Catalog:
-    """Tables by name. Changes never touch data: they put a new version under the name."""
+    """Tables by name, opened when first asked for. Changes never touch data: they put a new version under the name."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, {}
@@ -29,13 +29,16 @@ class Catalog:
 
     def folder(self, path: str, names: list[str] | None = None) -> Catalog:
         """Register name.parquet for each name."""
-        for name in names or ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings", "pages"):
-            self.add(name, self.spark.read.parquet(f"{path}/{name}.parquet"))
-        return self.add("events", self.spark.read.parquet(f"{path}/events.parquet"), time="ts", tags=("event_type", "user_id"), value="value")
+        known = {"events": {"time": "ts", "tags": ("event_type", "user_id"), "value": "value"}}
+        for name in names or ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages"):
+            self.tables[name] = lambda name=name: Table(self.spark.read.parquet(f"{path}/{name}.parquet"), **known.get(name, {}))
+        return self
 
     def __getitem__(self, name: str) -> Table:
         if name not in self.tables:
             raise KeyError(f"no table {name!r}; known: {', '.join(sorted(self.tables))}")
+        if callable(self.tables[name]):
+            self.tables[name] = self.tables[name]()
         return self.tables[name]
 
     def frame(self, name: str) -> DataFrame:
@@ -57,12 +60,12 @@ class Catalog:
     def show(self, kind: str, name: str = "") -> DataFrame:
         """tables, measurements, tag keys, field keys, or the values of a tag ('tag values', 'table.tag')."""
         if kind in ("tables", "measurements", "collections", "databases"):
-            rows = [(n,) for n, t in sorted(self.tables.items()) if kind != "measurements" or t.time]
+            rows = [(n,) for n in sorted(self.tables) if kind != "measurements" or self[n].time]
             return self.spark.createDataFrame(rows, "name string")
         if kind == "tag keys":
-            return self.spark.createDataFrame([(n, k) for n, t in sorted(self.tables.items()) if name in ("", n) for k in t.tags], "name string, key string")
+            return self.spark.createDataFrame([(n, k) for n in sorted(self.tables) if name in ("", n) for k in self[n].tags], "name string, key string")
         if kind == "field keys":
-            rows = [(n, c, k) for n, t in sorted(self.tables.items()) if t.time and name in ("", n) for c, k in t.frame.dtypes if c != t.time and c not in t.tags]
+            rows = [(n, c, k) for n in sorted(self.tables) if name in ("", n) and (t := self[n]).time for c, k in t.frame.dtypes if c != t.time and c not in t.tags]
             return self.spark.createDataFrame(rows, "name string, key string, type string")
         if kind == "tag values":
             table, _, tag = name.partition(".")

@@ -50,10 +50,6 @@ class Compiler:
             return self.catalog.spark.range(1).drop("id").select()
         return self.catalog.frame(p.table)
 
-    def resolve(self, e):
-        """Lower what needs a plan of its own: a subquery gives a list or one value through a join-free lookup."""
-        return e
-
     @lower.register
     def _(self, p: ir.Filter) -> DataFrame:
         df, rest = self.lower(p.child), []

@@ -153,16 +153,16 @@ for metric, sql in _DIST.items():
         return vector.knn(e.catalog.frame("embeddings"), "embedding", _QUERY, 10, metric).select("vec_id", "distance")
 
 
-@query("knn_filtered", f"SELECT vec_id, round({_DIST['l2']}, 6) AS distance FROM embeddings WHERE label IN (1, 3) AND NOT vec_id < 50 ORDER BY {_DIST['l2']}, vec_id LIMIT 5")
+@query("knn_filtered", f"SELECT vec_id, round({_DIST['l2']}, 6) AS distance FROM embeddings WHERE label IN (1, 3, 5) AND NOT label >= 5 ORDER BY {_DIST['l2']}, vec_id LIMIT 5")
 def _(e, sf):
-    where = search.points_filter({"must": [{"key": "label", "match": {"any": [1, 3]}}], "must_not": [{"key": "vec_id", "range": {"lt": 50}}]})
+    where = search.points_filter({"must": [{"key": "label", "match": {"any": [1, 3, 5]}}], "must_not": [{"key": "label", "range": {"gte": 5}}]})
     return vector.knn(e.catalog.frame("embeddings"), "embedding", _QUERY, 5, "l2", where).select("vec_id", "distance")
 
 
-@query("knn_batch", f"WITH q AS (SELECT vec_id AS query_id, {_V} AS q FROM embeddings WHERE vec_id % 100 = 7), d AS (SELECT query_id, vec_id, list_distance({_V}, q) AS d FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d QUALIFY rank <= 3")
+@query("knn_batch", f"WITH q AS (SELECT vec_id AS query_id, {_V} AS q FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, list_distance({_V}, q) AS d FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d QUALIFY rank <= 3")
 def _(e, sf):
     df = e.catalog.frame("embeddings")
-    return vector.knn_batch(df, df.filter("vec_id % 100 = 7"), "embedding", "vec_id", 3)
+    return vector.knn_batch(df, df.filter("vec_id % 100 = 0"), "embedding", "vec_id", 3)
 
 
 @query("vector_normalise", f"SELECT label, round(avg(sqrt(list_inner_product(n, n))), 6) AS len FROM (SELECT label, list_transform({_V}, lambda x: x / sqrt(list_inner_product({_V}, {_V}))) AS n FROM embeddings) GROUP BY 1")

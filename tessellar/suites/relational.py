@@ -104,9 +104,9 @@ def _(e, sf):
     return df.groupBy("o_orderstatus").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("array_updates", "SELECT o_custkey, list_sort(list_distinct(list_append(list_filter(list(o_orderpriority), lambda x: x <> '5-LOW'), 'new'))) AS tags FROM orders WHERE o_custkey < 60 GROUP BY o_custkey")
+@query("array_updates", "SELECT o_custkey, list_sort(list_distinct(list_append(list_filter(list(o_orderpriority), lambda x: x <> '5-LOW'), 'new'))) AS tags FROM orders GROUP BY o_custkey")
 def _(e, sf):
-    df = e.catalog.frame("orders").filter("o_custkey < 60").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("tags"))
+    df = e.catalog.frame("orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("tags"))
     df = documents.update(documents.update(df, {}, {"$pull": {"tags": "5-LOW"}}), {}, {"$addToSet": {"tags": "new"}})
     return df.select("o_custkey", F.sort_array(F.array_distinct("tags")).alias("tags"))
 
@@ -228,9 +228,9 @@ def _(e, sf):
     return e.catalog.frame("customer").filter("c_acctbal > 9000").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.col("nation.n_name").alias("nation"))
 
 
-@query("row_level_security", "SELECT count(*) AS n, round(sum(o_totalprice), 6) AS total FROM orders WHERE o_custkey % 10 = 3 AND o_orderstatus <> 'P'")
+@query("row_level_security", "SELECT count(*) AS n, round(sum(o_totalprice), 6) AS total FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'")
 def _(e, sf):
-    e.catalog.add("mine", e.catalog.frame("orders").filter("o_custkey % 10 = 3"))  # the policy is part of the view
+    e.catalog.add("mine", e.catalog.frame("orders").filter("o_orderpriority = '1-URGENT'"))  # the policy is part of the view
     return e.query("SELECT COUNT(*) AS n, SUM(o_totalprice) AS total FROM mine WHERE o_orderstatus <> 'P'", "sql")
 
 

@@ -8,7 +8,7 @@ from ..functions.scalars import floor_to, micros
 from ..operators import aggregates, joins, series, windows
 from .base import query, text
 
-H, D = 3_600_000_000, 86_400_000_000
+M10, H, D = 600_000_000, 3_600_000_000, 86_400_000_000
 T = "epoch_us(ts)"
 
 text("interval_window", "tdengine", "SELECT COUNT(*) AS n, AVG(value) AS mean, SPREAD(value) AS spread FROM events PARTITION BY event_type INTERVAL(6h)",
@@ -36,7 +36,7 @@ text("count_window", "tdengine", "SELECT COUNT(*) AS n, SUM(value) AS s FROM eve
 text("count_window_sliding", "tdengine", "SELECT COUNT(*) AS n, SUM(value) AS s FROM events PARTITION BY user_id COUNT_WINDOW(7, 3)",
      f"WITH a AS (SELECT *, {T} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS c FROM events), g AS (SELECT user_id, unnest(range(0, max(c), 3)) AS w FROM a GROUP BY user_id) SELECT a.user_id, min(t) AS _wstart, max(t) AS _wend, count(*) AS n, round(sum(value), 6) AS s FROM a JOIN g ON a.user_id = g.user_id AND i >= w AND i < w + 7 GROUP BY a.user_id, w")
 
-_BASE = f"""WITH r AS (SELECT event_type, {T} // {H} * {H} AS w, avg(value) AS v FROM events WHERE user_id < 20 GROUP BY 1, 2), g AS (SELECT event_type, unnest(range(min(w), max(w) + 1, {H})) AS w FROM r GROUP BY 1),
+_BASE = f"""WITH r AS (SELECT event_type, {T} // {M10} * {M10} AS w, avg(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT event_type, unnest(range(min(w), max(w) + 1, {M10})) AS w FROM r GROUP BY 1),
     j AS (SELECT g.event_type, g.w, r.v FROM g LEFT JOIN r ON g.event_type = r.event_type AND g.w = r.w),
     f AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS p, first_value(v IGNORE NULLS) OVER a AS n, last_value(CASE WHEN v IS NOT NULL THEN w END IGNORE NULLS) OVER b AS pw, first_value(CASE WHEN v IS NOT NULL THEN w END IGNORE NULLS) OVER a AS nw FROM j
     WINDOW b AS (PARTITION BY event_type ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
@@ -45,13 +45,13 @@ _FILLS = {
     "nearest": "CASE WHEN p IS NULL OR nw - w < w - pw THEN coalesce(n, p) ELSE p END",
 }
 for mode, sql in _FILLS.items():
-    text(f"fill_{mode}", "tdengine", f"SELECT AVG(value) AS v FROM events WHERE user_id < 20 PARTITION BY event_type INTERVAL(1h) FILL({'VALUE, -1' if mode == 'value' else mode})",
-         f"{_BASE} SELECT event_type, w AS _wstart, w + {H} AS _wend, round({sql}, 6) AS v FROM f")
-text("fill_none", "tdengine", "SELECT AVG(value) AS v FROM events WHERE user_id < 20 PARTITION BY event_type INTERVAL(1h) FILL(NONE)", f"{_BASE} SELECT event_type, w AS _wstart, w + {H} AS _wend, round(v, 6) AS v FROM f WHERE v IS NOT NULL")
-text("timescale_gapfill", "timescale", "SELECT time_bucket_gapfill('1 hour', ts) AS bucket, event_type, locf(avg(value)) AS v FROM events WHERE user_id < 20 GROUP BY bucket, event_type", f"{_BASE} SELECT w AS bucket, event_type, round(p, 6) AS v FROM f")
-text("timescale_interpolate", "timescale", "SELECT time_bucket_gapfill('1 hour', ts) AS bucket, event_type, interpolate(avg(value)) AS v FROM events WHERE user_id < 20 GROUP BY bucket, event_type", f"{_BASE} SELECT w AS bucket, event_type, round({_FILLS['linear']}, 6) AS v FROM f")
+    text(f"fill_{mode}", "tdengine", f"SELECT AVG(value) AS v FROM events PARTITION BY event_type INTERVAL(10m) FILL({'VALUE, -1' if mode == 'value' else mode})",
+         f"{_BASE} SELECT event_type, w AS _wstart, w + {M10} AS _wend, round({sql}, 6) AS v FROM f")
+text("fill_none", "tdengine", "SELECT AVG(value) AS v FROM events PARTITION BY event_type INTERVAL(10m) FILL(NONE)", f"{_BASE} SELECT event_type, w AS _wstart, w + {M10} AS _wend, round(v, 6) AS v FROM f WHERE v IS NOT NULL")
+text("timescale_gapfill", "timescale", "SELECT time_bucket_gapfill('10 minutes', ts) AS bucket, event_type, locf(avg(value)) AS v FROM events GROUP BY bucket, event_type", f"{_BASE} SELECT w AS bucket, event_type, round(p, 6) AS v FROM f")
+text("timescale_interpolate", "timescale", "SELECT time_bucket_gapfill('10 minutes', ts) AS bucket, event_type, interpolate(avg(value)) AS v FROM events GROUP BY bucket, event_type", f"{_BASE} SELECT w AS bucket, event_type, round({_FILLS['linear']}, 6) AS v FROM f")
 text("timescale_first_last", "timescale", "SELECT time_bucket('1 day', ts) AS bucket, first(value, ts) AS f, last(value, ts) AS l FROM events GROUP BY bucket", f"SELECT {T} // {D} * {D} AS bucket, round(arg_min(value, ts), 6) AS f, round(arg_max(value, ts), 6) AS l FROM events GROUP BY 1")
-text("influx_mean_fill", "influxql", 'SELECT MEAN("value") AS v FROM "events" WHERE "user_id" < 20 GROUP BY time(1h), "event_type" FILL(previous)', f"{_BASE} SELECT event_type, w AS _wstart, w + {H} AS _wend, round(p, 6) AS v FROM f")
+text("influx_mean_fill", "influxql", 'SELECT MEAN("value") AS v FROM "events" GROUP BY time(10m), "event_type" FILL(previous)', f"{_BASE} SELECT event_type, w AS _wstart, w + {M10} AS _wend, round(p, 6) AS v FROM f")
 text("influx_difference", "influxql", 'SELECT difference(sum("value")) FROM "events" GROUP BY time(1d), "event_type"',
      f"WITH r AS (SELECT event_type, {T} // {D} * {D} AS _wstart, sum(value) AS s FROM events GROUP BY 1, 2), d AS (SELECT event_type, _wstart, _wstart + {D} AS _wend, round(s - lag(s) OVER (PARTITION BY event_type ORDER BY _wstart), 6) AS value FROM r) SELECT * FROM d WHERE value IS NOT NULL")
 text("sample_by", "questdb", "SELECT event_type, count(*) AS n, avg(value) AS v FROM events PARTITION BY event_type SAMPLE BY 12h FILL(PREV)",
@@ -67,8 +67,8 @@ text("ts_stats", "tdengine", "SELECT event_type, SPREAD(value) AS spread, STDDEV
      f"""WITH m AS (SELECT event_type, user_id, count(*) AS c FROM events GROUP BY 1, 2), k AS (SELECT event_type, arg_min(user_id, (-c, user_id)) AS mode FROM m GROUP BY 1)
      SELECT event_type, round(max(value) - min(value), 6) AS spread, round(stddev_pop(value), 6) AS sd, round(list_sort(list(value))[1 + cast(floor(0.3 * (count(*) - 1)) AS BIGINT)], 6) AS p30, round(median(value), 6) AS med, any_value(mode) AS mode, (max({T}) - min({T})) // 1000 AS ms,
      round(arg_max(value, ts) - arg_min(value, ts), 6) AS d, round(arg_max(value, ts), 6) AS lr, count(DISTINCT user_id) AS users, round((arg_max(value, ts) - arg_min(value, ts)) / ((max({T}) - min({T})) / 1e6), 6) AS slope FROM events JOIN k USING (event_type) GROUP BY 1""")
-text("top_bottom_unique", "tdengine", "SELECT event_type, TOP(value, 3) AS t, BOTTOM(value, 3) AS b, UNIQUE(user_id) AS u FROM events WHERE user_id < 12 GROUP BY event_type",
-     "SELECT event_type, list_slice(list_reverse_sort(list(value)), 1, 3) AS t, list_slice(list_sort(list(value)), 1, 3) AS b, list_sort(list_distinct(list(user_id))) AS u FROM events WHERE user_id < 12 GROUP BY 1")
+text("top_bottom_unique", "tdengine", "SELECT event_type, TOP(value, 3) AS t, BOTTOM(value, 3) AS b, UNIQUE(user_id) AS u FROM events GROUP BY event_type",
+     "SELECT event_type, list_slice(list_reverse_sort(list(value)), 1, 3) AS t, list_slice(list_sort(list(value)), 1, 3) AS b, list_sort(list_distinct(list(user_id))) AS u FROM events GROUP BY 1")
 
 
 @query("ts_rates", f"""WITH a AS (SELECT user_id, ts, event_id, value AS v, {T} AS t, lag(value) OVER w AS p, {T} - lag({T}) OVER w AS dt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, v - p AS d, CASE WHEN v - p < 0 THEN v ELSE v - p END AS r FROM a)
@@ -144,8 +144,8 @@ def _(e, sf):
 
 @query("fill_mean_neighbours", f"{_BASE} SELECT event_type, w AS bucket, round(CASE WHEN v IS NOT NULL THEN v ELSE (coalesce(p, n) + coalesce(n, p)) / 2 END, 6) AS v FROM f")
 def _(e, sf):
-    df = e.catalog.frame("events").filter("user_id < 20").groupBy("event_type", floor_to(micros("ts"), H).alias("_w")).agg(F.avg("value").alias("v"))
-    return windows.gap_fill(df, ["event_type"], H, ["v"], "mean").withColumnRenamed("_w", "bucket")
+    df = e.catalog.frame("events").groupBy("event_type", floor_to(micros("ts"), M10).alias("_w")).agg(F.avg("value").alias("v"))
+    return windows.gap_fill(df, ["event_type"], M10, ["v"], "mean").withColumnRenamed("_w", "bucket")
 
 
 def _sides(e):

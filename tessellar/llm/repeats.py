@@ -143,7 +143,7 @@ class Shard:
             yield key, u, int(lost.sum()), _digest([w for w, x in zip(words, lost.tolist()) if not x])
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", shard: int = 2_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", shard: int = 1_000_000) -> DataFrame:
     """Find every word covered by a window of `window` words that also starts in a document with a smaller id.
 
     Returns a row for each row of docs: the id, n_words, n_removed, kept_sha256 (of the kept words, joined by spaces).
@@ -156,16 +156,18 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), F.xxhash64(text).alias("u"), text.cast("binary").alias("text"))
     scan = stage_table(_scan(rows, window), "anchors")
     each = scan.select("id", "u", F.explode(F.arrays_zip("g", "s", "lo", "hi")).alias("a")).select("id", "u", "a.g", "a.s", "a.lo", "a.hi")
-    recurring = each.groupBy("g").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("g")
+    # Aggregates are written before they are joined: then both sides of a join have plain exchanges, and the rows of a
+    # very frequent anchor can be split over tasks.
+    recurring = stage_table(each.groupBy("g").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("g"), "recurring")
     met = stage_table(each.join(recurring, "g"), "recurring-anchors")
 
-    contexts = met.groupBy("g").agg(F.min("s").alias("s1"), F.max("s").alias("s2"), F.min(F.struct("id", "u", "lo")).alias("src"))
+    contexts = stage_table(met.groupBy("g").agg(F.min("s").alias("s1"), F.max("s").alias("s2"), F.min(F.struct("id", "u", "lo")).alias("src")), "contexts")
     marked = met.join(contexts, "g")
     alike = marked.filter("s1 = s2 and id > src.id").select("id", "u", "lo", "hi", F.col("src.id").alias("src"), F.col("src.u").alias("su"), F.col("src.lo").alias("src_lo"))
     mixed = marked.filter("s1 != s2").groupBy("id", "u").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("found"))
     texts = stage_table(rows.join(_bounded(met.select("id", "u").distinct()), ["id", "u"], "left_semi").dropDuplicates(["id", "u"]), "candidate-texts")
     windows = stage_table(_window_rows(texts.join(mixed, ["id", "u"]).select("id", "u", "text", "found"), window), "windows")
-    firsts = windows.groupBy("g", "w").agg(F.min(F.struct("id", "u", "p")).alias("src"), F.max("id").alias("b")).filter("src.id < b")
+    firsts = stage_table(windows.groupBy("g", "w").agg(F.min(F.struct("id", "u", "p")).alias("src"), F.max("id").alias("b")).filter("src.id < b"), "first-windows")
     single = windows.join(firsts, ["g", "w"]).filter("id > src.id").select("id", "u", F.col("p").alias("lo"), F.col("p").alias("hi"), F.col("src.id").alias("src"), F.col("src.u").alias("su"), F.col("src.p").alias("src_lo"))
     runs = stage_table(_runs(alike.unionAll(single), window), "runs")
 

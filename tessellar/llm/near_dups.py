@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     few, many = inside.filter(F.col("n") <= small), inside.filter(F.col("n") > small)
     pairs = few.alias("p").join(few.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("u"), F.col("q.id").alias("v"))
     weight = many.groupBy("id").agg(F.sum("n").alias("weight"))
-    pivot = many.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
+    # Written before it is joined: then both sides have plain exchanges, and a very large bucket can be split over tasks.
+    pivot = stage_table(many.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot")), "pivots")
     star = stage_table(many.join(pivot, "key").filter("id != pivot").select("id", "pivot").distinct(), "stars-of-buckets")
     pairs = stage_table(pairs.unionAll(star.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))).distinct(), "pairs")
     wanted = inside.select("id").distinct()

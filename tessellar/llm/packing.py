@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, vocab: str, room: int, end_id: int, id_col: st
     return map_arrow(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), f"id {kind}, piece int, start long, length long, ids_crc32 long", step)
 
 
-def pack(docs: DataFrame, vocab: str, *, room: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache: int = 200_000, salts: int = 256) -> DataFrame:
+def pack(docs: DataFrame, vocab: str, *, room: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache: int = 400_000, salts: int = 256) -> DataFrame:
     """Pack all documents into as few sequences of at most `room` tokens as minimum bin slack finds.
 
     A document is its ids and then end_id; only longer ones are cut, into pieces of `room` tokens (the last may be

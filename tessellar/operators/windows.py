@@ -103,18 +103,19 @@ def gap_fill(df: DataFrame, keys: list[str], step: int, values: list[str], mode:
         return out
     if mode == "value":
         return out.withColumns({v: F.coalesce(v, F.lit(value)) for v in values})
-    w = _series(keys).orderBy("_w")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # The next value is the last one in falling order: a growing frame takes one pass, a shrinking one would start anew
+    # at every row.
+    back, ahead = (_series(keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for order in (F.col("_w"), F.col("_w").desc()))
     filled = {}
     for v in values:
         has = F.col(v).isNotNull()
-        p, n = F.last(v, True).over(back), F.first(v, True).over(ahead)
+        p, n = F.last(v, True).over(back), F.last(v, True).over(ahead)
         if mode == "prev":
             filled[v] = p
         elif mode == "next":
             filled[v] = n
         else:
-            pw, nw = F.last(F.when(has, F.col("_w")), True).over(back), F.first(F.when(has, F.col("_w")), True).over(ahead)
+            pw, nw = F.last(F.when(has, F.col("_w")), True).over(back), F.last(F.when(has, F.col("_w")), True).over(ahead)
             if mode == "linear":
                 filled[v] = F.when(has, F.col(v)).otherwise(p + (n - p) * F.try_divide(F.col("_w") - pw, nw - pw))
             elif mode == "nearest":

@@ -33,6 +33,15 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, links.b FROM r JO
 k AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN k ON k.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
+#: SHA-1 in base32: each five hexadecimal digits are twenty bits, and so four signs.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+d AS (SELECT page_id, payload_bytes, first, list_transform(range(0, 8), lambda g: ('0x' || substr(x, cast(g * 5 + 1 AS BIGINT), 5))::INTEGER) AS v FROM s)
+SELECT page_id, payload_bytes, array_to_string(list_transform(v, lambda n: concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 15 & 31) + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 10 & 31) + 1, 1),
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 5 & 31) + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n & 31) + 1, 1))), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d"""
+
 
 def source_mixing(fraction: float, epochs: int, seed: int) -> str:
     """The tree of three levels, shared out level by level, and the prefix of each leaf's last epoch."""

@@ -70,5 +70,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """The others are held against brute force in tests/llm."""
     return {
-        "op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op2_source_mixing": oracles.source_mixing(0.5, 4, 17), "op4_line_dedup": oracles.LINE_DEDUP, "op10_minhash_near_dedup": oracles.NEAR_DEDUP,
+        "op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op2_source_mixing": oracles.source_mixing(0.5, 4, 17), "op4_line_dedup": oracles.LINE_DEDUP, "op9_warc": oracles.WARC, "op10_minhash_near_dedup": oracles.NEAR_DEDUP,
     } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -5,6 +5,7 @@ A series is the rows of one combination of `keys`; ties in time are broken by `t
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,19 +76,24 @@ def _ordered(keys: list[str], ts: str, v: str, ties: list[str]):
 
 
 def ema(df: DataFrame, keys: list[str], ts: str, v: str, span: int, ties: list[str] = ()) -> DataFrame:
-    """Exponential moving average (alpha 2/(span+1), seeded by the first value), a row for each input row.
-
-    The recursion runs inside one array of a series, in the JVM: series must be of moderate length, as daily ones are.
-    """
+    """Exponential moving average (alpha 2/(span+1), seeded by the first value), a row for each input row."""
     return smooth(df, keys, ts, v, 2.0 / (span + 1), ties, "ema")
 
 
 def smooth(df: DataFrame, keys: list[str], ts: str, v: str, alpha: float, ties: list[str] = (), name: str = "level") -> DataFrame:
-    rows = df.groupBy(*keys).agg(_ordered(keys, ts, v, list(ties)).alias("a"))
-    empty = F.array().cast("array<double>")
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * F.element_at(acc, F.size(acc)))))
-    rows = rows.withColumn("e", F.aggregate("a", empty, lambda acc, x: F.when(F.size(acc) == 0, F.array(x["v"])).otherwise(step(acc, x))))
-    return rows.select(*keys, F.explode(F.arrays_zip("a", "e")).alias("z")).select(*keys, F.col("z.a.t").alias(ts), F.col("z.a.v").alias(v), F.col("z.e").alias(name))
+    """level = alpha * value + (1 - alpha) * level before: a true recursion, so each series is one linear pass in Arrow
+    batches (an array in the JVM would be copied for every row)."""
+    rows = df.select(*keys, ts, *[F.col(x).alias(f"_tie{n}") for n, x in enumerate(ties)], F.col(v).cast("double").alias(v))
+    order = [ts, *[f"_tie{n}" for n in range(len(ties))]]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        part[name] = part[v].ewm(alpha=alpha, adjust=False).mean()
+        return part[[*keys, ts, v, name]]
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, ts, v)) + f", `{name}` double"
+    return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
 def forecast(df: DataFrame, keys: list[str], ts: str, v: str, steps: int, alpha: float = 0.3, band: float = 0.1, ties: list[str] = ()) -> DataFrame:

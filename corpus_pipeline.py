@@ -32,7 +32,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of 4096."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), room=4096, end_id=1)
+    # Workers also hold the word hashes of the stages before, so they remember fewer pre-tokens than packing alone may.
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), room=4096, end_id=1, cache=200_000)
 
 
 STAGES = [("quality", good_quality), ("line_dedup", without_boilerplate), ("near_dedup", without_near_copies), ("mixing", mixed), ("packing", packed)]

@@ -69,11 +69,13 @@ def knn(df: DataFrame, vector_col: str, query: list[float], k: int, metric: str
 
 
 def knn_batch(df: DataFrame, queries: DataFrame, vector_col: str, id_col: str, k: int, metric: str = "l2", most: int = 10_000) -> DataFrame:
-    """The k nearest rows to each of at most `most` queries (checked), which are broadcast as the build side."""
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} queries: use an index")
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), doubles(vector_col).alias("_q")))
+    """The k nearest rows to each query. Up to `most` queries are broadcast as the build side; more are dealt by a hash of
+    their ids into blocks of `most` on average, and each block meets each partition of the rows in a task of its own."""
+    q = queries.select(F.col(id_col).alias("query_id"), doubles(vector_col).alias("_q"))
+    if queries.limit(most + 1).count() <= most:
+        q = F.broadcast(q)
+    else:
+        q = q.repartition(-(-queries.count() // most), "query_id").hint("shuffle_replicate_nl")
     pairs = df.select(id_col, doubles(vector_col).alias("_v")).join(q, F.col(id_col) != F.col("query_id"))
     scored = pairs.select("query_id", id_col, METRICS[metric](F.col("_v"), F.col("_q")).alias("distance"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col)).cast("long")).filter(F.col("rank") <= k)

@@ -314,3 +314,12 @@ def test_sliding_grid_matches_a_simulation(spark):
             want |= {(start, n)} if n else set()
             start += slide
         assert got == want
+
+
+@pytest.mark.parametrize("most", [1, 7, 24, 10_000])
+def test_knn_batch_answers_every_query(spark, most):
+    points = {i: [float(i * 37 % 101), float(i * i % 53)] for i in range(120)}
+    df = spark.createDataFrame(list(points.items()), "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vector.knn_batch(df, df.filter("vec_id % 5 = 0"), "embedding", "vec_id", 2, most=most).collect()}
+    near = {q: sorted((i for i in points if i != q), key=lambda i: (sum((a - b) ** 2 for a, b in zip(points[q], points[i])), i)) for q in points if q % 5 == 0}
+    assert got == {(q, k + 1): ids[k] for q, ids in near.items() for k in range(2)}

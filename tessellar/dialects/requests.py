@@ -111,9 +111,13 @@ def native(catalog: Catalog, query: str | dict) -> DataFrame:
     if kind == "segmentMetadata":
         return catalog.describe(source)
     df = df.withColumn("_t", us(t.time))
-    for interval in q.get("intervals", [])[:1] if isinstance(q.get("intervals"), list) else [q["intervals"]] if "intervals" in q else []:
+    intervals = q.get("intervals", [])
+    spans = []
+    for interval in intervals if isinstance(intervals, list) else [intervals]:
         lo, _, hi = interval.partition("/")
-        df = df.filter((F.col("_t") >= _time(lo, None)) & (F.col("_t") < _time(hi, None)))
+        spans.append((F.col("_t") >= _time(lo, None)) & (F.col("_t") < _time(hi, None)))
+    if spans:
+        df = df.filter(reduce(or_, spans))
     if "filter" in q:
         df = df.filter(_filter(q["filter"]))
     if kind in ("timeBoundary", "dataSourceMetadata"):

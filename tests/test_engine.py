@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellar.catalog import Catalog
-from tessellar.dialects import detect, english, flux, printers, promql, sql
+from tessellar.dialects import detect, english, flux, printers, promql, requests, sql
 from tessellar.engine import Engine
 from tessellar.operators import aggregates, changes, documents, joins, search, series, text, vector, windows
 from tessellar.plans import ir
@@ -323,3 +323,17 @@ def test_knn_batch_answers_every_query(spark, most):
     got = {(r.query_id, r["rank"]): r.vec_id for r in vector.knn_batch(df, df.filter("vec_id % 5 = 0"), "embedding", "vec_id", 2, most=most).collect()}
     near = {q: sorted((i for i in points if i != q), key=lambda i: (sum((a - b) ** 2 for a, b in zip(points[q], points[i])), i)) for q in points if q % 5 == 0}
     assert got == {(q, k + 1): ids[k] for q, ids in near.items() for k in range(2)}
+
+
+def test_druid_reads_every_interval(spark):
+    rows = [(at(h * 3_600_000), "ab"[h % 2], float(h)) for h in range(10)]
+    c = Catalog(spark).add("w", spark.createDataFrame(rows, "ts timestamp, k string, value double"), time="ts", value="value", tags=("k",))
+    q = {"dataSource": "w", "intervals": ["1970-01-01T00:00:00/1970-01-01T02:00:00", "1970-01-01T05:00:00/1970-01-01T07:00:00", "1970-01-01T06:00:00/1970-01-01T08:00:00"]}
+    sums = {"aggregations": [{"type": "count", "name": "n"}, {"type": "doubleSum", "name": "s", "fieldName": "value"}]}
+    ask = lambda kind, **more: [tuple(r) for r in requests.native(c, {"queryType": kind} | q | more).collect()]
+    assert ask("timeseries", **sums) == [(5, 19.0)]
+    assert ask("topN", dimension="k", metric="s", threshold=2, **sums) == [("b", 3, 13.0), ("a", 2, 6.0)]
+    assert sorted(ask("groupBy", dimensions=["k"], **sums)) == [("a", 2, 6.0), ("b", 3, 13.0)]
+    assert sorted(ask("scan", columns=["value"])) == [(0.0,), (1.0,), (5.0,), (6.0,), (7.0,)]
+    assert ask("search", searchDimensions=["k"], query={"value": "B"}) == [("k", "b", 3)]
+    assert ask("timeBoundary") == [(0, 7 * 3_600_000_000)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,10 @@ _FNS = {"avg": F.avg, "average": F.avg, "sum": F.sum, "min": F.min, "max": F.max
 
 
 def run(catalog: Catalog, text: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Columns series, t (microseconds), v. A path is table.tag.tag..., with globs; left-out tags are combined."""
+    """Columns series, t (microseconds), v. A path is table.tag.tag..., with globs; left-out tags are combined.
+
+    sumSeries and its like combine the samples of all their arguments; other functions take one path or function of one.
+    """
 
     def ev(e) -> DataFrame:
         name, args = e
@@ -76,7 +80,13 @@ def run(catalog: Catalog, text: str, start: int | None = None, end: int | None =
                 df = df.filter(F.col("t") >= start)
             return df.filter(F.col("t") < end) if end is not None else df
         low = name.lower()
-        df = ev(args[0])
+        combined = low in ("sumseries", "sum", "averageseries", "avg", "minseries", "min", "maxseries", "max")
+        paths = [a for a in args if isinstance(a, tuple)]
+        if not args or not isinstance(args[0], tuple):
+            raise ParseError(f"graphite: {name} begins with a path or a function of one")
+        if len(paths) > 1 and not combined or combined and len(paths) < len(args):
+            raise ParseError(f"graphite: {name} has no use for some of its arguments")
+        df = reduce(DataFrame.unionByName, map(ev, paths))
         w = Window.partitionBy("series").orderBy("t")
         rest = args[1:]
         if low in ("summarize", "smartsummarize"):
@@ -93,7 +103,7 @@ def run(catalog: Catalog, text: str, start: int | None = None, end: int | None =
             return df.withColumn("series", F.lit(rest[0]))
         if low in ("aliasbynode",):
             return df.withColumn("series", F.concat_ws(".", *[F.get(F.split("series", r"\."), F.lit(int(n))) for n in rest]))
-        if low in ("sumseries", "sum", "averageseries", "avg", "minseries", "min", "maxseries", "max"):
+        if combined:
             fn = _FNS[low.removesuffix("series")]
             return df.groupBy("t").agg(fn("v").alias("v")).select(F.lit(f"{low}").alias("series"), "t", "v")
         m = re.fullmatch(r"(highest|lowest)(current|max|min|average)", low)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellar.catalog import Catalog
-from tessellar.dialects import detect, english, flux, printers, promql, requests, sql
+from tessellar.dialects import detect, english, flux, printers, promql, requests, sql, targets
 from tessellar.engine import Engine
 from tessellar.operators import aggregates, changes, documents, joins, search, series, text, vector, windows
 from tessellar.plans import ir
@@ -337,3 +337,16 @@ def test_druid_reads_every_interval(spark):
     assert sorted(ask("scan", columns=["value"])) == [(0.0,), (1.0,), (5.0,), (6.0,), (7.0,)]
     assert ask("search", searchDimensions=["k"], query={"value": "B"}) == [("k", "b", 3)]
     assert ask("timeBoundary") == [(0, 7 * 3_600_000_000)]
+
+
+def test_graphite_combines_every_path(spark):
+    rows = [(at(k * 60_000), kind, user, v) for k in range(2) for kind, user, v in (("view", "a", 1.0), ("view", "b", 2.0), ("click", "a", 10.0), ("buy", "a", 100.0))]
+    c = Catalog(spark).add("events", spark.createDataFrame(rows, "ts timestamp, kind string, user string, value double"), time="ts", value="value", tags=("kind", "user"))
+    ask = lambda target: [r.v for r in targets.run(c, target).orderBy("t").collect()]
+    assert ask("sumSeries(events.view.*, events.click.*)") == ask("sumSeries(events.{view,click}.*)") == [13.0, 13.0]
+    assert ask("maxSeries(events.view.*, scale(events.click.*, 5), events.click.*)") == [50.0, 50.0]
+    assert ask("minSeries(events.click.*, events.view.b)") == [2.0, 2.0] and ask("averageSeries(events.buy.*,events.click.*)") == [55.0, 55.0]
+    assert ask("summarize(sumSeries(events.view.*, events.buy.*), '1h', 'sum')") == [206.0]
+    for target in ("scale(events.view.*, events.click.*)", "summarize(events.view.*, events.buy.*, '1h')", "sumSeries(events.view.*, 3)", "sumSeries()"):
+        with pytest.raises(ParseError):
+            ask(target)

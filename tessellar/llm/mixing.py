@@ -53,7 +53,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...
     node = [F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in zip(names, levels.values())]
     sized = stage_table(docs.select(F.col(id_col).alias("id"), *node, token_count(text_or_empty(text_col)).alias("tokens")), "mix-sizes")
     leaves = stage_table(sized.groupBy(*names).agg(F.sum("tokens").cast("double").alias("size")), "mix-leaves")  # as many rows as the tree has leaves
-    tree = leaves.withColumn("cap", F.col("size") * epochs)
+    at = lambda key: reduce(lambda a, b: a & b, [F.col(n) == v for n, v in zip(names, key)])
+    shut = reduce(lambda a, b: a | b, [at(key) for key, w in weights.items() if 0 < len(key) <= len(names) and w == 0], F.lit(False))
+    tree = leaves.withColumn("cap", F.when(shut, F.lit(0.0)).otherwise(F.col("size") * epochs))  # below a weight of 0 a leaf gives nothing
     budget = None
     for depth in range(1, len(names) + 1):
         path = names[:depth]
@@ -61,7 +63,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...
         weight = F.lit(1.0)
         for key, w in weights.items():
             if len(key) == depth:
-                weight = F.when(reduce(lambda a, b: a & b, [F.col(n) == v for n, v in zip(path, key)]), F.lit(float(w))).otherwise(weight)
+                weight = F.when(at(key), F.lit(float(w))).otherwise(weight)
         rows = rows.withColumn("w", weight)
         if budget is None:
             rows = rows.crossJoin(F.broadcast(leaves.agg((F.coalesce(F.sum("size"), F.lit(0.0)) * fraction).alias("budget"))))  # one row

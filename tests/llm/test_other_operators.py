@@ -37,6 +37,13 @@ def test_whole_epochs_and_weights(make):
     assert by != other and sum(other.values()) == 25
 
 
+def test_a_shut_branch_below_the_top_leaves_its_budget_to_others(make):
+    rows = [(k, "w " * 10, "en", "a", 0) for k in range(10)] + [(k + 10, "w " * 10, "en", "b", 0) for k in range(20)] + [(k + 100, "w " * 10, "fr", "c", 0) for k in range(100)]
+    got = mixing.mix(make(rows), levels(), {("en", "b"): 0.0, ("fr", "c", "none"): 0.0}, fraction=0.5, epochs=1).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()
+    # 650 of 1300 tokens: en has only the 100 of a to give, so fr takes the other 550
+    assert {r.source: r.n for r in got} == {"a": 100, "b": 0, "c": 550}
+
+
 def test_mixing_edge_cases(make):
     assert mixing.mix(make([]), levels(), {}).collect() == []
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5)]

@@ -76,7 +76,10 @@ def _predicate(text: str):
 
 
 def run(catalog: Catalog, text: str, now: int | None = None) -> DataFrame:
-    """Columns: the group's keys, _time (microseconds), _value. `now` (microseconds) anchors relative ranges."""
+    """Columns: the group's keys, _time (microseconds), _value. `now` (microseconds) anchors relative ranges.
+
+    window() adds the window's _start (microseconds) to the group's keys, until window(every: inf) or group().
+    """
     steps = calls(text)
     if not steps or steps[0][0] != "from":
         raise ParseError("flux: a query begins with from(bucket: ...)")
@@ -97,6 +100,12 @@ def run(catalog: Catalog, text: str, now: int | None = None) -> DataFrame:
             df = df.filter(column(_predicate(a["fn"])))
         elif name == "group":
             keys = _strings(a.get("columns", ""))
+        elif name == "window":
+            if set(a) != {"every"}:
+                raise ParseError("flux: window takes `every` alone")
+            keys = [k for k in keys if k != "_start"]
+            if a["every"] != "inf":
+                df, keys = df.withColumn("_start", floor_to(F.col("_t"), micros(a["every"]))), [*keys, "_start"]
         elif name == "aggregateWindow":
             size, fn = micros(a["every"]), _fn(a["fn"])
             df = df.withColumn("_w", floor_to(F.col("_t"), size)).groupBy(*keys, "_w").agg(fn.alias("_value"))
@@ -128,7 +137,7 @@ def run(catalog: Catalog, text: str, now: int | None = None) -> DataFrame:
         elif name in ("limit", "top", "bottom"):
             by = order if name == "limit" and order else [F.col("_value").desc(), "_t"] if name == "top" else [F.col("_value").asc(), "_t"] if name == "bottom" else ["_t"]
             df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter(F.col("_r") <= int(a["n"])).drop("_r")
-        elif name not in ("yield", "window"):
+        elif name != "yield":
             raise ParseError(f"flux: unknown function {name}")
     return df.select(*keys, F.col("_t").alias("_time"), "_value")
 

@@ -350,3 +350,16 @@ def test_graphite_combines_every_path(spark):
     for target in ("scale(events.view.*, events.click.*)", "summarize(events.view.*, events.buy.*, '1h')", "sumSeries(events.view.*, 3)", "sumSeries()"):
         with pytest.raises(ParseError):
             ask(target)
+
+
+def test_flux_window_parts_groups(spark):
+    rows = [(at(m * 60_000), "ab"[m % 2], float(m)) for m in range(0, 180, 15)]
+    c = Catalog(spark).add("cpu", spark.createDataFrame(rows, "ts timestamp, host string, value double"), time="ts", value="value", tags=("host",))
+    ask = lambda pipe: sorted(tuple(r)[:-2] + (r._value,) for r in flux.run(c, 'from(bucket: "cpu") |> ' + pipe).collect())
+    h = 3_600_000_000
+    assert ask("window(every: 1h) |> mean()") == [("a", 0, 15.0), ("a", h, 75.0), ("a", 2 * h, 135.0), ("b", 0, 30.0), ("b", h, 90.0), ("b", 2 * h, 150.0)]
+    assert ask("group() |> window(every: 1h) |> count()") == [(0, 4.0), (h, 4.0), (2 * h, 4.0)]
+    assert ask("window(every: 1h) |> mean() |> window(every: inf) |> max()") == [("a", 135.0), ("b", 150.0)]
+    assert ask("window(every: 1h) |> window(every: 2h) |> sum()") == [("a", 0, 180.0), ("a", 2 * h, 270.0), ("b", 0, 240.0), ("b", 2 * h, 300.0)]
+    with pytest.raises(ParseError):
+        ask("window(every: 1h, period: 2h) |> mean()")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_arrow, text_or_empty
 
-# Texts of characters below U+0130 are split here; their classes are fixed values of Unicode:
+# Classes of the characters below U+0130, fixed values of Unicode; those of others come from the library:
 _LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-į"
 _NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = r"\t-\r \x85\xa0"
@@ -41,9 +41,14 @@ class Cache(dict):
 
 
 class PreTokens:
-    """A tokenizer file with its worker cache. pieces() gives a text's pre-tokens, or None where only the library may split it."""
+    """A tokenizer file with its worker cache. pieces() gives a text's pre-tokens, or None where only the library may split it.
+
+    The split patterns ask only which class a character has. Characters from U+0130 on get theirs from the library, once
+    each in a worker; a text with such is split as its copy in which each of them is a plain character of its class.
+    """
 
     _loaded: dict[str, PreTokens] = {}
+    _plain: dict[int, str] = {}
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,13 +59,15 @@ class PreTokens:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
+        as_they_are = self.special and not any(t[k] for t in spec["added_tokens"] for k in ("normalized", "single_word", "lstrip", "rstrip"))
+        self.parts = re.compile(f"({'|'.join(map(re.escape, self.special))})").split if as_they_are else None
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         pre = spec["pre_tokenizer"] or {}
         self.lower = steps == ["NFC", "Replace", "Lowercase"]
         if spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
-            self.split = _SPLITS["byte"].findall
+            self.split, self.find = _SPLITS["byte"].findall, _SPLITS["byte"].finditer
         elif self.lower and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
-            self.split = _SPLITS["word"].findall
+            self.split, self.find = _SPLITS["word"].findall, _SPLITS["word"].finditer
         else:
             self.split = None  # an unknown kind: the library does all
         self.counts, self.packed = Cache(), Cache()
@@ -72,9 +79,26 @@ class PreTokens:
         return cls._loaded[path]
 
     def pieces(self, text: str) -> list[str] | None:
-        if self.split is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if self.split is None:
             return None
-        return self.split(text.lower() if self.lower else text)
+        if any(s in text for s in self.special):  # the library takes what is between special strings by itself
+            found = [[x] if x in self.special else self.pieces(x) for x in self.parts(text)] if self.parts else [None]
+            return None if None in found else [p for x in found for p in x]
+        if _PLAIN.fullmatch(text):
+            return self.split(text.lower() if self.lower else text)
+        if self.lower:
+            text = self.tokenizer.normalizer.normalize_str(text)
+            if text != self.tokenizer.normalizer.normalize_str(text):
+                return None  # its pieces would not be encoded as they are
+        return [text[m.start() : m.end()] for m in self.find(text.translate(self.classes(text)))]
+
+    @classmethod
+    def classes(cls, text: str) -> dict[int, str]:
+        """For each character from U+0130 on, those of text among them, a plain one of the same class."""
+        for c in set(_PLAIN.sub("", text)):
+            if ord(c) not in cls._plain:
+                cls._plain[ord(c)] = _class(c)
+        return cls._plain
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -115,6 +139,14 @@ class PreTokens:
             return b"".join(map(self.packed.__getitem__, found))
 
 
+def _class(c: str) -> str:
+    """A letter, number, other sign or space that stands for c: what the library's pattern joins c to."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    joined = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    return next((x for x in "\xaa\xb2\xa7" if len(joined(x + c)) == 1), "\x85")
+
+
 def _pack(ids: list[int]) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
@@ -122,7 +154,7 @@ def _pack(ids: list[int]) -> bytes:
 def frequent_pretokens(docs: DataFrame, vocab: str, text_col: str = "text", size: int = 32_768, per_task: int = 4_096, tracked: int = 200_000) -> dict[str, int]:
     """Token counts of the corpus's most frequent pre-tokens, at most `size` of them.
 
-    Every text is read. Each task keeps a bounded summary (lossy counting over `tracked` entries) and hands on its
+    Every text is read; those that only the library may split (see pieces()) add nothing. Each task keeps a bounded summary (lossy counting over `tracked` entries) and hands on its
     `per_task` most frequent entries, so what is merged is bounded by the number of tasks and never holds occurrences.
     """
 

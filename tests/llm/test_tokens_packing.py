@@ -28,6 +28,16 @@ def test_any_text_encodes_as_the_library_does(path, text):
     assert tok.count(text, {}, 1000) == len(ids(path, [text])[0])
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_texts_of_any_characters_use_both_tiers(make, path):
+    texts = ["“It’s” — 日本語", "x<|endoftext|>“y” <|ENDOFTEXT|>", "a\u2003\u2003b ٣Ⅷ K", "<|endoftext|>"]
+    tok = tokens.PreTokens(path)
+    assert None not in map(tok.pieces, [*EDGES, *texts])
+    for t in texts:
+        assert sum(len(x) for x in tok.ids(tok.pieces(t))) == len(ids(path, [t])[0]) == tok.count(t, {}, 1000)
+    assert {"“", "’", "日本語"} <= {p.strip() for p in tokens.frequent_pretokens(make(enumerate(texts)), path)}
+
+
 def test_counts_of_edge_cases_and_repeated_rows(make):
     rows = [(k, t) for k, t in enumerate(EDGES)] + [(3, EDGES[3]), (None, "null id"), (99, None)]
     docs = make(rows).selectExpr("*", "1 AS n_tokens", "'x' AS id", "2 AS n_bytes")

@@ -104,13 +104,13 @@ def header(df: DataFrame, kind: str) -> str:
     return {"csv": ",", "tsv": "\t"}[kind].join(df.columns)
 
 
-def show(df: DataFrame, kind: str, rows: int = 100) -> str:
-    """The first rows as a table, Markdown, CSV or JSON text, for people."""
+def show(df: DataFrame, kind: str, rows: int | None = None) -> str:
+    """All rows, or the first `rows`, as a table, Markdown, CSV or JSON text, for people."""
     import csv
     import io
     import json
 
-    names, data = df.columns, [list(r) for r in df.limit(rows).collect()]
+    names, data = df.columns, [list(r) for r in (df if rows is None else df.limit(rows)).collect()]
     cells = [["" if v is None else str(v) for v in r] for r in data]
     if kind == "markdown":
         return "\n".join(["| " + " | ".join(r) + " |" for r in [names, ["---"] * len(names), *cells]])

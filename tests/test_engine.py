@@ -363,3 +363,9 @@ def test_flux_window_parts_groups(spark):
     assert ask("window(every: 1h) |> window(every: 2h) |> sum()") == [("a", 0, 180.0), ("a", 2 * h, 270.0), ("b", 0, 240.0), ("b", 2 * h, 300.0)]
     with pytest.raises(ParseError):
         ask("window(every: 1h, period: 2h) |> mean()")
+
+
+def test_show_prints_all_rows(spark):
+    df = spark.range(250)
+    assert [len(lines.show(df, kind).splitlines()) for kind in ("table", "markdown", "csv")] == [252, 252, 251]
+    assert lines.show(df, "json").count("{") == 250 and lines.show(df, "json", 3).count("{") == 3

@@ -7,7 +7,7 @@ is repeated for them; windows of a series never meet in a join, so the work is l
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
 
@@ -38,8 +38,9 @@ class Selector:
     name: str
     matchers: tuple[tuple[str, str, str], ...] = ()
     range: int = 0
-    step: int = 0
+    step: int = 0  # of [range:step]; -1 is that of the query
     offset: int = 0
+    at: int | str | None = None  # of @: microseconds, 'start' or 'end'
 
 
 @dataclass(frozen=True)
@@ -130,20 +131,37 @@ class Parser:
             if self.take("["):
                 size = micros(self.next())
                 step = 0
-                if self.take(":"):
-                    step = micros(self.next()) if self.peek() != "]" else 0
+                if self.peek().startswith(":"):  # ':1m' without a space is one token
+                    text = self.next()[1:] or (self.next() if self.peek() != "]" else "")
+                    step = micros(text) if text else -1
                 self.need("]")
                 if not isinstance(out, Selector):
                     raise ParseError("promql: a range needs a selector; subqueries over expressions are not supported")
-                out = Selector(out.name, out.matchers, size, step, out.offset)
+                out = replace(out, range=size, step=step)
             elif self.take("offset"):
                 sign = -1 if self.take("-") else 1
-                out = Selector(out.name, out.matchers, out.range, out.step, sign * micros(self.next()))
+                out = replace(out, offset=sign * micros(self.next()))
+            elif self.take("@"):
+                if not isinstance(out, Selector):
+                    raise ParseError("promql: @ needs a selector")
+                out = replace(out, at=self.fixed_time())
             elif self.take("keep_metric_names"):
                 pass
             else:
                 return out
 
+    def fixed_time(self) -> int | str:
+        """After @: seconds, start() or end()."""
+        if self.peek() in ("start", "end"):
+            word = self.next()
+            self.need("(")
+            self.need(")")
+            return word
+        sign = -1 if self.take("-") else 1
+        if self.kind() != "num":
+            raise ParseError(f"promql: @ needs a time, found {self.peek()!r}")
+        return sign * round(float(self.next()) * 1_000_000)
+
     def labels(self) -> tuple[str, ...]:
         self.need("(")
         out = []
@@ -258,6 +276,8 @@ class Evaluator:
         labels = list(self.m.labels)
         if isinstance(e, Number):
             return e.value, []
+        if isinstance(e, Selector) and e.at is not None:
+            return self.fixed(e, lambda ev, s: ev.eval(s))
         if isinstance(e, Selector):
             w = Window.partitionBy(*labels).orderBy(*self._order())
             df = self.m.select(e).withColumn("_n", F.lead("_t").over(w))
@@ -329,10 +349,27 @@ class Evaluator:
             return joined.filter(ops[e.op](F.col("v"), F.col("_rv"))).select(*ll, "t", "v"), ll
         return joined.select(*ll, "t", ops[e.op](F.col("v"), F.col("_rv")).cast("double").alias("v")), ll
 
+    def fixed(self, s: Selector, run) -> tuple[DataFrame, list[str]]:
+        """What run(evaluator, selector) gives at the selector's fixed time, for every evaluation time."""
+        at = {"start": self.start, "end": self.end}.get(s.at, s.at)
+        df, labels = run(Evaluator(self.m, at, at, self.step, self.lookback), replace(s, at=None))
+        times = F.sequence(*[F.lit(x).cast("long") for x in (self.start, self.end, self.step)])
+        return df.withColumn("t", F.explode(times)), labels
+
+    def subquery(self, s: Selector) -> DataFrame:
+        """The selector's values at the multiples of the range's step, as samples."""
+        step = s.step if s.step > 0 else self.step
+        first, last = ((self.start - s.range - s.offset) // step + 1) * step, (self.end - s.offset) // step * step
+        df, labels = Evaluator(self.m, first, last, step, self.lookback).eval(Selector(s.name, s.matchers))
+        return df.select(*labels, (F.col("t") + s.offset).alias("_t"), "v", *[F.lit(0).alias(f"_tie{k}") for k in range(len(self.m.ties))])
+
     def over_range(self, s: Selector, name: str, arg: float | None):
         """Functions over the samples in (t - range, t]."""
+        if s.at is not None:
+            return self.fixed(s, lambda ev, x: ev.over_range(x, name, arg))
         labels, size = list(self.m.labels), s.range
-        df = self.m.select(s)
+        df = self.subquery(s) if s.step else self.m.select(s)
+        name = name.removeprefix("rollup_") if name in ("rollup_rate", "rollup_deriv", "rollup_increase", "rollup_delta") else name
         if name in ("rate", "irate", "increase", "delta", "idelta", "resets", "changes"):
             w = Window.partitionBy(*labels).orderBy(*self._order())
             df = df.withColumn("_p", F.lag("_t").over(w)).withColumn("_q", F.lag("v").over(w)).filter("_p is not null")

@@ -369,3 +369,22 @@ def test_show_prints_all_rows(spark):
     df = spark.range(250)
     assert [len(lines.show(df, kind).splitlines()) for kind in ("table", "markdown", "csv")] == [252, 252, 251]
     assert lines.show(df, "json").count("{") == 250 and lines.show(df, "json", 3).count("{") == 3
+
+
+def test_promql_fixed_times_steps_and_rollups(spark):
+    rows = [(at(k * 30_000), "m", "a", float(k * k)) for k in range(11)]
+    m = promql.Metrics(spark.createDataFrame(rows, "ts timestamp, metric string, host string, value double"), "metric", ("host",), "ts", "value", ("value",))
+    ev = promql.Evaluator(m, 120_000_000, 300_000_000, 90_000_000)
+    ask = lambda q: [r.v for r in ev(q).orderBy("t").collect()]
+    assert ask("m") == [16.0, 49.0, 100.0]
+    assert ask("m @ 60") == [4.0] * 3 and ask("m @ 60 offset 30s") == ask("m offset 30s @ 60") == [1.0] * 3
+    assert ask("m @ start()") == [16.0] * 3 and ask("m - m @ end()") == [-84.0, -51.0, 0.0] and ask("sum_over_time(m[1m] @ 90)") == [13.0] * 3
+    # (t - 2m, t] at whole minutes: 60, 120 | 120, 180 | 240, 300 seconds
+    assert ask("sum_over_time(m[2m:1m])") == ask("sum_over_time(m[2m: 1m])") == [20.0, 52.0, 164.0]
+    assert ask("sum_over_time(m[2m:1m] @ 120)") == [20.0] * 3 and ask("sum_over_time(m[2m:1m] offset 1m)") == [4.0, 20.0, 100.0]
+    assert ask("count_over_time(m[3m:])") == [2.0, 2.0, 2.0]
+    for name in ("rate", "deriv", "increase", "delta"):
+        assert ask(f"rollup_{name}(m[2m])") == ask(f"{name}(m[2m])") != []
+    for bad in ("m @", "m @ x", "sum(m) @ 60"):
+        with pytest.raises(ParseError):
+            promql.parse(bad)

@@ -15,6 +15,8 @@ class Table:
     tags: tuple[str, ...] = ()
     value: str = ""
     deleted: str = ""
+    key: tuple[str, ...] = ()  # what a newer version of a row replaces
+    version: str = ""
 
 
 class Catalog:
@@ -22,6 +24,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, {}
+        self.streams, self.databases = {}, set()  # stream -> (target, plan, options)
 
     def add(self, name: str, frame: DataFrame, **known) -> Catalog:
         self.tables[name] = Table(frame, **known)
@@ -49,8 +52,18 @@ class Catalog:
     def replace(self, name: str, frame: DataFrame) -> None:
         self.tables[name] = replace(self[name], frame=frame) if name in self.tables else Table(frame)
 
-    def drop(self, name: str) -> None:
-        self.tables.pop(name)
+    def drop(self, name: str, kind: str = "table", lenient: bool = False) -> None:
+        """Forget a name. Dropping a stream leaves its target; an index was never kept."""
+        if kind == "index":
+            return
+        if kind == "database":
+            if name not in self.databases and not lenient:
+                raise KeyError(f"no database {name!r}")
+            return self.databases.discard(name)
+        names = self.streams if kind == "stream" else self.tables
+        if name not in names and not lenient:
+            raise KeyError(f"no {kind} {name!r}")
+        names.pop(name, None)
 
     def describe(self, name: str) -> DataFrame:
         t = self[name]
@@ -59,7 +72,9 @@ class Catalog:
 
     def show(self, kind: str, name: str = "") -> DataFrame:
         """tables, measurements, tag keys, field keys, or the values of a tag ('tag values', 'table.tag')."""
-        if kind in ("tables", "measurements", "collections", "databases"):
+        if kind in ("databases", "streams"):
+            return self.spark.createDataFrame([(n,) for n in sorted(self.databases if kind == "databases" else self.streams)], "name string")
+        if kind in ("tables", "measurements", "collections", "topics", "stables"):
             rows = [(n,) for n in sorted(self.tables) if kind != "measurements" or self[n].time]
             return self.spark.createDataFrame(rows, "name string")
         if kind == "tag keys":

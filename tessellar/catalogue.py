@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .suites import metrics, relational, timeseries  # noqa: F401  they register their queries
+from .suites import metrics, names, relational, timeseries  # noqa: F401  they register their queries
 from .suites.base import REGISTER
 
 

@@ -66,6 +66,8 @@ class Binary:
     bool: bool = False
     on: tuple[str, ...] | None = None
     ignoring: tuple[str, ...] = ()
+    group: str = ""  # 'left' or 'right': the side that may have many series for one of the other
+    group_labels: tuple[str, ...] = ()
 
 
 class Parser:
@@ -117,9 +119,11 @@ class Parser:
             if self.peek() in ("on", "ignoring"):
                 word, names = self.next(), self.labels()
                 on, ignoring = (names, ()) if word == "on" else (None, names)
-            if self.take("group_left", "group_right") and self.peek() == "(":
-                self.labels()
-            left = Binary(op, left, self.expression(LEVEL[op] + (op != "^")) if op != "^" else self.expression(LEVEL[op]), flag, on, ignoring)
+            group, extra = "", ()
+            if self.peek() in ("group_left", "group_right"):
+                group = self.next().removeprefix("group_")
+                extra = self.labels() if self.peek() == "(" else ()
+            left = Binary(op, left, self.expression(LEVEL[op] + (op != "^")) if op != "^" else self.expression(LEVEL[op]), flag, on, ignoring, group, extra)
         return left
 
     def unary(self):
@@ -253,6 +257,11 @@ class Metrics:
         return df.select(*self.labels, (us(self.time) + s.offset).alias("_t"), F.col(self.value).cast("double").alias("v"), *[F.col(x).alias(f"_tie{k}") for k, x in enumerate(self.ties)])
 
 
+def _single(df: DataFrame, count: str, why: str) -> DataFrame:
+    """The rows, where the count must be 1: an error when the query runs otherwise."""
+    return df.filter(F.when(F.col(count) > 1, F.raise_error(F.lit(f"promql: {why}")).isNull()).otherwise(F.lit(True)))
+
+
 class Evaluator:
     """Evaluates a query at start, start+step, ... up to end (microseconds): label columns, t, v."""
 
@@ -320,6 +329,11 @@ class Evaluator:
         fns = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": lambda c: F.count(c).cast("double"), "stddev": F.stddev_pop, "stdvar": F.var_pop, "group": lambda c: F.lit(1.0), "median": lambda c: F.percentile(c, 0.5), "quantile": lambda c: F.percentile(c, self.number(e.param))}
         return df.groupBy(*keys).agg(fns[e.name]("v").alias("v")), keep
 
+    def by_name(self, e) -> bool:
+        if isinstance(e, Aggregation):
+            return not e.without and self.m.name in (e.labels or ())
+        return any(map(self.by_name, (e.left, e.right) if isinstance(e, Binary) else e.args if isinstance(e, Call) else ()))
+
     def binary(self, e: Binary):
         left, ll = self.eval(e.left)
         right, rl = self.eval(e.right)
@@ -336,18 +350,35 @@ class Evaluator:
             if compare and not e.bool:
                 return df.filter(ops[e.op](a, b)), labels
             return df.withColumn("v", ops[e.op](a, b).cast("double")), labels
-        on = [x for x in (e.on if e.on is not None else ll) if x in ll and x in rl and x not in e.ignoring]
-        r = right.select(*[F.col(x).alias(f"_r_{x}") for x in on], F.col("t").alias("_rt"), F.col("v").alias("_rv"))
+        # Both sides' labels must agree, but for those ignored; what one side lacks agrees with null. The metric's name
+        # counts only where both sides were grouped by it.
+        unnamed = () if self.by_name(e.left) and self.by_name(e.right) else (self.m.name,)
+        on = list(e.on) if e.on is not None else [x for x in dict.fromkeys([*ll, *rl]) if x not in (*e.ignoring, *unnamed)]
+        empty = lambda x: F.lit(None).cast("string").alias(x)
+        left = left.select("*", *[empty(x) for x in on if x not in ll])
+        right = right.select("*", *[empty(x) for x in on if x not in rl])
         cond = reduce(and_, [F.col(x).eqNullSafe(F.col(f"_r_{x}")) for x in on], F.col("t") == F.col("_rt"))
+        key = lambda df: df.select(*[F.col(x).alias(f"_r_{x}") for x in on], F.col("t").alias("_rt"))
         if e.op in ("and", "unless"):
-            return left.join(r, cond, "left_semi" if e.op == "and" else "left_anti"), ll
+            return left.join(key(right), cond, "left_semi" if e.op == "and" else "left_anti").select(*ll, "t", "v"), ll
         if e.op == "or":
-            l2 = left.select(*[F.col(x).alias(f"_r_{x}") for x in on], F.col("t").alias("_rt"))
-            return left.unionByName(right.join(l2, cond, "left_anti"), allowMissingColumns=True), ll
-        joined = left.join(r, cond)
+            more = right.join(key(left), cond, "left_anti").select(*rl, "t", "v")
+            return left.select(*ll, "t", "v").unionByName(more, allowMissingColumns=True), list(dict.fromkeys([*ll, *rl]))
+        if e.group == "right":  # the many are on the right: their labels stay
+            left, ll, right, rl = right, rl, left, ll
+        extra = [x for x in e.group_labels if x in rl]
+        one = right.groupBy(*[F.col(x).alias(f"_r_{x}") for x in on], F.col("t").alias("_rt")).agg(F.max("v").alias("_rv"), F.count("*").alias("_rn"), *[F.max(x).alias(f"_x_{x}") for x in extra])
+        one = _single(one, "_rn", "several series share the labels of the one side")
+        if e.group:
+            joined, keep = left.join(one, cond), list(dict.fromkeys([*ll, *extra]))
+        else:
+            keep = [x for x in on if x in ll]
+            joined = _single(left.groupBy(*on, "t").agg(F.max("v").alias("v"), F.count("*").alias("_ln")).join(one, cond), "_ln", "several series match one: group_left or group_right is needed")
+        a, b = (F.col("_rv"), F.col("v")) if e.group == "right" else (F.col("v"), F.col("_rv"))
+        shown = [F.col(f"_x_{x}").alias(x) if x in extra else F.col(x) for x in keep]
         if compare and not e.bool:
-            return joined.filter(ops[e.op](F.col("v"), F.col("_rv"))).select(*ll, "t", "v"), ll
-        return joined.select(*ll, "t", ops[e.op](F.col("v"), F.col("_rv")).cast("double").alias("v")), ll
+            return joined.filter(ops[e.op](a, b)).select(*shown, "t", a.alias("v")), keep
+        return joined.select(*shown, "t", ops[e.op](a, b).cast("double").alias("v")), keep
 
     def fixed(self, s: Selector, run) -> tuple[DataFrame, list[str]]:
         """What run(evaluator, selector) gives at the selector's fixed time, for every evaluation time."""

@@ -134,8 +134,15 @@ def native(catalog: Catalog, query: str | dict) -> DataFrame:
     grain = q.get("granularity", "all")
     keys = []
     if grain != "all":
-        size = micros(grain["period"]) if isinstance(grain, dict) else micros(_GRAINS[grain])
-        keys.append(floor_to(F.col("_t"), size).alias("t"))
+        period = grain["period"] if isinstance(grain, dict) else grain
+        unit = {"P1W": "week", "P1M": "month", "P3M": "quarter", "P1Y": "year"}.get(period, period)
+        if unit in ("week", "month", "quarter", "year"):
+            start = us(F.date_trunc(unit, F.timestamp_micros("_t").cast("timestamp_ntz")))
+        elif isinstance(grain, dict) or grain in _GRAINS:
+            start = floor_to(F.col("_t"), micros(period if isinstance(grain, dict) else _GRAINS[grain]))
+        else:
+            raise ParseError(f"druid: unknown granularity {grain}")
+        keys.append(start.alias("t"))
     dims = [q["dimension"]] if kind == "topN" else q.get("dimensions", []) if kind == "groupBy" else []
     keys += [field(d["dimension"]).alias(d.get("outputName", d["dimension"])) if isinstance(d, dict) else field(d) for d in dims]
     names = [d.get("outputName", d["dimension"]) if isinstance(d, dict) else d for d in dims]

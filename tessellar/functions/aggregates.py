@@ -20,10 +20,33 @@ def truncated_percentile(v: Column, p: float) -> Column:
     return F.get(values, F.floor(F.lit(p / 100.0) * (F.size(values) - 1)).cast("int"))
 
 
+#: Aggregates over each row and the one before it in time; their arguments are the value, that of the row before and the
+#: seconds since it.
+NEIGHBOURS = {"twa", "integral", "irate", "increase", "idelta", "resets", "changes"}
+
+
+def neighbours(name: str, args: list[Column], params: tuple, order: Column) -> Column:
+    v, before, secs = args
+    rise, area = F.when(v < before, v).otherwise(v - before), F.sum((v + before) / 2 * secs)
+    if name == "twa":  # of a single row, its value
+        return F.coalesce(F.try_divide(area, F.sum(F.when(before.isNotNull(), secs))), _at(v, order, True))
+    if name == "integral":  # per second, or in units of so many microseconds
+        return F.coalesce(area, F.lit(0.0)) / (params[0] / 1e6 if params else 1.0)
+    if name == "irate":
+        return _at(F.try_divide(rise, secs), order, True)
+    if name == "increase":
+        return F.sum(rise)
+    if name == "idelta":
+        return _at(v - before, order, True)
+    return F.coalesce(F.sum((v < before if name == "resets" else v != before).cast("long")), F.lit(0))
+
+
 def lower(name: str, args: list[Column], params: tuple, distinct: bool, order: Column) -> Column:
     v = args[0] if args else None
     if name in REGISTERED:
         return REGISTERED[name](*args)
+    if name in NEIGHBOURS:
+        return neighbours(name, args, params, order)
     if name == "count":
         return F.count(F.lit(1)) if v is None else F.count_distinct(*args) if distinct else F.count(v)
     if name in ("count_distinct", "uniqexact", "hyperloglog"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..plans import ir
@@ -86,6 +86,8 @@ def column(e, aggregate=None) -> Column:
         if aggregate is None:
             raise ValueError(f"aggregate {e.name} is not allowed here")
         return aggregate(e)
+    if isinstance(e, ir.Over):
+        return _over(e, aggregate)
     if not isinstance(e, ir.Op):
         raise ValueError(f"not an expression: {e!r}")
     name, constant = e.name, [a.value if isinstance(a, ir.Lit) else None for a in e.args]
@@ -116,3 +118,35 @@ def column(e, aggregate=None) -> Column:
     if name in REGISTERED:
         return REGISTERED[name](*args)
     return F.call_function(name, *args)
+
+
+def sort_key(k: ir.Key, aggregate=None) -> Column:
+    c = column(k.expr, aggregate)
+    nulls = k.nulls or ("last" if k.descending else "first")
+    return getattr(c, f"{'desc' if k.descending else 'asc'}_nulls_{nulls}")()
+
+
+#: Functions of OVER that give a place, as 64-bit numbers.
+_PLACES = ("row_number", "rank", "dense_rank", "ntile")
+
+
+def _over(e: ir.Over, aggregate) -> Column:
+    from . import aggregates
+
+    parts = [column(x, aggregate) for x in e.partition] or [F.lit(0)]
+    w = Window.partitionBy(*parts)
+    if e.order:
+        w = w.orderBy(*[sort_key(k, aggregate) for k in e.order])
+    elif e.call.name in (*_PLACES, "lag", "lead", "percent_rank", "cume_dist"):
+        raise ValueError(f"{e.call.name} needs ORDER BY in OVER")
+    if e.frame:
+        kind, first, last = e.frame
+        bounds = (Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last)
+        w = w.rowsBetween(*bounds) if kind == "rows" else w.rangeBetween(*bounds)
+    args = [column(a, aggregate) for a in e.call.args]
+    if isinstance(e.call, ir.Agg):
+        if e.call.name in ("first", "last"):
+            return (F.first if e.call.name == "first" else F.last)(*args).over(w)
+        return aggregates.lower(e.call.name, args, e.call.params, e.call.distinct, F.lit(0)).over(w)
+    out = F.call_function(e.call.name, *args).over(w)
+    return out.cast("long") if e.call.name in _PLACES else out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros
@@ -74,6 +74,16 @@ def relationships(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]
     return out
 
 
+def state_runs(df: DataFrame, keys: list[str], ts: str, ties: list[str], holds: Column, count: bool, unit: int) -> DataFrame:
+    """`_of` as how many rows, or how long (in units of so many microseconds), the condition has held; -1 where it doesn't."""
+    w = Window.partitionBy(*keys or [F.lit(0)]).orderBy(ts, *ties)
+    df = df.withColumn("_h", F.coalesce(holds, F.lit(False))).withColumn("_g", F.sum((~F.col("_h")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = Window.partitionBy(*keys, "_g", "_h").orderBy(ts, *ties)
+    t = micros(ts)
+    run = F.row_number().over(inner).cast("long") if count else F.floor((t - F.min(t).over(inner.rowsBetween(Window.unboundedPreceding, 0))) / unit)
+    return df.withColumn("_of", F.when(F.col("_h"), run).otherwise(F.lit(-1).cast("long"))).drop("_h", "_g")
+
+
 def state_stats(df: DataFrame, keys: list[str], ts: str, state: str, ties: list[str] = ()) -> DataFrame:
     """Rows and milliseconds of each run of one state."""
     from .windows import assign_state

@@ -6,7 +6,7 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,11 +74,17 @@ def value(e: Any) -> Column:
     return F.lit(e)
 
 
-def group(df: DataFrame, spec: dict[str, Any], order: list[str] = ()) -> DataFrame:
-    """$group: _id is null, a '$field' or a document of keys; $first and $last follow `order`."""
+def group(df: DataFrame, spec: dict[str, Any], order: dict[str, int] | None = None) -> DataFrame:
+    """$group: _id is null, a '$field' or a document of keys. $first and $last follow `order` (the fields of the last
+    $sort with 1 or -1); rows that are equal in it, or all without a $sort, are ordered by the whole row."""
     by = spec["_id"]
     keys = {} if by is None else {"_id": value(by)} if not isinstance(by, dict) else {k: value(v) for k, v in by.items()}
-    at = F.struct(*order) if order else F.lit(0)
+    ends = {"$first", "$last"} & {op for name, agg in spec.items() if name != "_id" for op in agg}
+    if ends and order:  # rank by the sort, as keys that fall can't be compared in a struct
+        by_group = Window.partitionBy(*keys.values() or [F.lit(0)])
+        by_sort = by_group.orderBy(*[sort_key(k, d) for k, d in order.items()], *[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith("map")])
+        df = df.withColumn("_rank", F.row_number().over(by_sort))
+    at = F.col("_rank") if ends and order else F.struct(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith("map")])
     makers = {
         "$sum": lambda e: F.coalesce(F.sum(value(e)), F.lit(0)), "$avg": lambda e: F.avg(value(e)), "$min": lambda e: F.min(value(e)), "$max": lambda e: F.max(value(e)), "$count": lambda e: F.count(F.lit(1)),
         "$first": lambda e: F.min_by(value(e), at), "$last": lambda e: F.max_by(value(e), at), "$push": lambda e: F.sort_array(F.collect_list(value(e))), "$addToSet": lambda e: F.sort_array(F.collect_set(value(e))),
@@ -103,17 +109,21 @@ def project(df: DataFrame, spec: dict[str, Any], id_col: str = "_id") -> DataFra
     return df.select(*out, *[field(k).alias(k.rsplit(".", 1)[-1]) if v in (1, True) else value(v).alias(k) for k, v in flags.items()])
 
 
+def sort_key(path: str, way: int) -> Column:
+    return field(path).asc_nulls_first() if way > 0 else field(path).desc_nulls_last()
+
+
 def pipeline(df: DataFrame, stages: list[dict], tables=None, id_col: str = "_id") -> DataFrame:
     """Stages in order. tables(name) gives the frame for $lookup and $unionWith."""
     from . import joins, vector
 
-    order: list[str] = []
+    order: dict[str, int] = {}
     for stage in stages:
         ((op, spec),) = stage.items()
         if op == "$match":
             df = df.filter(where(spec))
         elif op == "$group":
-            df, order = group(df, spec, order), []
+            df, order = group(df, spec, order), {}
         elif op == "$project":
             df = project(df, spec, id_col)
         elif op in ("$addFields", "$set"):
@@ -121,8 +131,7 @@ def pipeline(df: DataFrame, stages: list[dict], tables=None, id_col: str = "_id"
         elif op == "$unset":
             df = df.drop(*([spec] if isinstance(spec, str) else spec))
         elif op == "$sort":
-            df = df.orderBy(*[field(k).asc_nulls_first() if d > 0 else field(k).desc_nulls_last() for k, d in spec.items()])
-            order = list(spec) if all(d > 0 for d in spec.values()) else order
+            df, order = df.orderBy(*[sort_key(k, d) for k, d in spec.items()]), spec
         elif op == "$limit":
             df = df.limit(spec)
         elif op == "$skip":

@@ -12,18 +12,41 @@ from pyspark.sql import functions as F
 def equi(left: DataFrame, right: DataFrame, how: str, pairs: list[tuple[str, str]], null_safe: bool = False, clash: str = "right_") -> DataFrame:
     """Join on equal columns. Columns of the right side that the left has too get a prefix, but for shared key names."""
     how = {"semi": "left_semi", "anti": "left_anti", "outer": "full"}.get(how, how)
+    keys = [a for a, _ in pairs] if not null_safe and all(a == b for a, b in pairs) else []
+    names = renames(left.columns, right.columns, keys, clash)
+    renamed = right.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     if how == "cross":
-        return left.crossJoin(right.select(*[F.col(c).alias(clash + c if c in left.columns else c) for c in right.columns]))
-    if not null_safe and all(a == b for a, b in pairs):
-        keys = [a for a, _ in pairs]
-        right = right.select(*[F.col(c).alias(clash + c if c in left.columns and c not in keys else c) for c in right.columns])
-        return left.join(right, keys, how)
-    names = {c: clash + c if c in left.columns else c for c in right.columns}
-    renamed = right.select(*[F.col(c).alias(n) for c, n in names.items()])
+        return left.crossJoin(renamed)
+    if keys:
+        return left.join(renamed, keys, how)
     same = (lambda a, b: left[a].eqNullSafe(renamed[names[b]])) if null_safe else (lambda a, b: left[a] == renamed[names[b]])
     return left.join(renamed, reduce(and_, [same(a, b) for a, b in pairs]), how)
 
 
+def renames(left: list[str], right: list[str], keys: list[str], clash: str = "right_") -> dict[str, str]:
+    """What the right side's columns are called after a join: those that the left has too get the prefix, as often as it
+    takes; shared keys keep their name."""
+    names, taken = {}, set(left) | {c for c in right if c not in left}
+    for c in right:
+        n = c
+        while c not in keys and c in left and n in taken:
+            n = clash + n
+        names[c] = n
+        taken.add(n)
+    return names
+
+
+def not_in(df: DataFrame, value, sub: DataFrame) -> DataFrame:
+    """value NOT IN (sub) by three-valued logic: a null in sub excludes every row, a null value every row unless sub is
+    empty. An equi anti join and one row of counts, so that no side has to fit in memory."""
+    sub = sub.select(F.col(f"`{sub.columns[0]}`").alias("_in"))
+    counts = sub.agg(F.count(F.lit(1)).alias("n"), F.count("_in").alias("m"))
+    all_of, known = counts.select("n").scalar(), counts.select("m").scalar()
+    df = df.withColumn("_value", value)
+    out = df.join(sub, F.col("_value") == F.col("_in"), "left_anti").filter((all_of == 0) | (F.col("_value").isNotNull() & (all_of == known)))
+    return out.drop("_value")
+
+
 def prefixed(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join on one shared key with every column named left_* or right_*."""
     a = left.select(*[F.col(c).alias(f"left_{c}") for c in left.columns])

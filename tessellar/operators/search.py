@@ -77,9 +77,18 @@ def metric(kind: str, c: Column) -> Column:
 
 
 def aggregate(df: DataFrame, aggs: dict) -> DataFrame:
-    """One bucket aggregation (terms or histogram) with metrics below it, or metrics of the whole."""
-    name, spec = next(iter(aggs.items()))
-    kind = next(k for k in spec if k != "aggs")
+    """Aggregations side by side. One bucket aggregation (terms or histogram) gives key, doc_count and the metrics below
+    it; metrics alone give one row. Several of which any has buckets give rows with the aggregation's name in `agg`; its
+    key is text, and what another one has is null."""
+    buckets = {n: s for n, s in aggs.items() if _kind(s) in ("terms", "histogram")}
+    if buckets and len(aggs) > 1:
+        alone = [aggregate(df, {n: s}).withColumn("key", F.col("key").cast("string")).withColumn("agg", F.lit(n)) for n, s in buckets.items()]
+        rest = {n: s for n, s in aggs.items() if n not in buckets}
+        if rest:
+            alone.append(aggregate(df, rest).withColumn("agg", F.lit("_metrics")))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alone)
+    spec = next(iter(aggs.values()))
+    kind = _kind(spec)
     if kind not in ("terms", "histogram"):
         items = []
         for n, s in aggs.items():
@@ -95,6 +104,10 @@ def aggregate(df: DataFrame, aggs: dict) -> DataFrame:
     return df.filter(c.isNotNull()).groupBy(c.alias("key")).agg(F.count("*").alias("doc_count"), *below).orderBy(F.desc("doc_count"), "key").limit(spec[kind].get("size", 10))
 
 
+def _kind(spec: dict) -> str:
+    return next(k for k in spec if k not in ("aggs", "aggregations"))
+
+
 def _metric(s: dict) -> tuple[str, Column]:
     k, v = _one(s)
     return k, field(v["field"])

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import micros
 
 
+#: Functions that have no value where a series starts; such rows are left out.
+FIRST_UNDEFINED = ("difference", "non_negative_difference", "derivative", "non_negative_derivative", "elapsed", "moving_average")
+
+
 def series(keys: list[str], ts: str, ties: list[str] = ()) -> Window:
     return (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(ts, *ties)
 

@@ -7,34 +7,51 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The stop words of the analyser (fixed values).
+# The stop words of the analyser.
 STOP_WORDS = (
-    "a an and are as at be by for from has he in is it its of on that the to was were will with this but they have had what when where who which why how"
+    "a an and are as at be by for from has have he in is it its of on or she that the they this to was were will with you your"
 ).split()
 
 
 def stem(token: Column) -> Column:
     """A light stemmer: one ending is taken off words that stay long enough."""
     ends = lambda s, n: token.endswith(s) & (F.length(token) > n)
-    cut = lambda n: F.expr(f"substring(_tok, 1, length(_tok) - {n})")
+    cut = lambda n: F.substring(token, F.lit(1), F.length(token) - n)
+    # The endings, and the lengths that a token must exceed to lose them.
     return (
-        F.when(ends("ies", 4), F.concat(cut(3), F.lit("y"))).when(ends("es", 4), cut(2)).when(ends("s", 3) & ~token.endswith("ss"), cut(1))
+        F.when(ends("ies", 4), F.concat(cut(3), F.lit("y"))).when(ends("es", 3), cut(2)).when(ends("s", 3) & ~token.endswith("ss"), cut(1))
         .when(ends("ing", 5), cut(3)).when(ends("ed", 4), cut(2)).when(ends("ly", 4), cut(2)).otherwise(token)
     )
 
 
+def _words(text_col: str) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}_]+", " ")), " ")
+
+
+def word_lists(docs: DataFrame, id_col: str, text_col: str, stemmed: bool = True, stops: bool = True) -> DataFrame:
+    """doc, tokens: all tokens of a document in one array, for scores that need no positions and so no shuffle."""
+    words = F.array_remove(_words(text_col), "")
+    if stops:
+        words = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+    return docs.select(F.col(id_col).alias("doc"), (F.transform(words, stem) if stemmed else words).alias("tokens"))
+
+
 def tokens(docs: DataFrame, id_col: str, text_col: str, stemmed: bool = True, stops: bool = True) -> DataFrame:
     """doc, pos, token. Positions count all words, before stop words are dropped."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}_]+", " ")), " ")
-    out = docs.select(F.col(id_col).alias("doc"), F.posexplode(words).alias("pos", "_tok")).filter("_tok != ''")
+    out = docs.select(F.col(id_col).alias("doc"), F.posexplode(_words(text_col)).alias("pos", "_tok")).filter("_tok != ''")
     if stops:
         out = out.filter(~F.col("_tok").isin(STOP_WORDS))
     return out.select("doc", F.col("pos").cast("long").alias("pos"), (stem(F.col("_tok")) if stemmed else F.col("_tok")).alias("token"))
 
 
 def _counts(toks: DataFrame, terms: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Term counts of the documents that have any, their lengths, and the corpus's one-row statistics."""
-    per_doc = toks.groupBy("doc").agg(F.count("*").alias("len"), *[F.sum((F.col("token") == t).cast("long")).alias(f"tf{k}") for k, t in enumerate(terms)])
+    """Term counts of the documents that have any, their lengths, and the corpus's one-row statistics. Of word lists each
+    row is a document and is counted where it stands; a token table is grouped by document."""
+    if "tokens" in toks.columns:
+        size = F.size("tokens").cast("long")
+        per_doc = toks.select("doc", size.alias("len"), *[(size - F.size(F.array_remove("tokens", t))).alias(f"tf{k}") for k, t in enumerate(terms)]).filter("len > 0")
+    else:
+        per_doc = toks.groupBy("doc").agg(F.count("*").alias("len"), *[F.sum((F.col("token") == t).cast("long")).alias(f"tf{k}") for k, t in enumerate(terms)])
     stats = per_doc.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))])
     return per_doc.filter(reduce(lambda a, b: a | b, [F.col(f"tf{k}") > 0 for k in range(len(terms))])), per_doc, stats
 

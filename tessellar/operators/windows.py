@@ -80,8 +80,21 @@ def assign_count(df: DataFrame, keys: list[str], size: int, slide: int, ties: li
     return df.filter(first <= last).withColumn("_g", F.explode(F.sequence(first, last))).drop("_i")
 
 
-def gap_fill(df: DataFrame, keys: list[str], step: int, values: list[str], mode: str, value: float | None = None, lo: int | None = None, hi: int | None = None) -> DataFrame:
-    """Rows for the empty buckets of each series between its first and last `_w` (or lo and hi), filled by mode.
+def interpolate(df: DataFrame, keys: list[str], value: str, step: int, mode: str, ties: list[str]) -> DataFrame:
+    """Values at the multiples of `step` (`_w`) from the first row of a series to its last: the value at that time, or
+    what `mode` makes of the rows around it. Of rows at one time the last counts."""
+    at = df.groupBy(*keys, "_t").agg(F.max_by(value, F.struct(*ties, value)).alias(value))
+    ends = at.groupBy(*keys).agg(F.min("_t").alias("_a"), F.max("_t").alias("_z")).filter("_a is not null")
+    first, last = -floor_to(-F.col("_a"), step), floor_to(F.col("_z"), step)
+    grid = ends.filter(first <= last).select(*keys, F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("_t"))
+    both = at.withColumn("_grid", F.lit(False)).unionByName(grid.withColumn("_grid", F.lit(True)), allowMissingColumns=True)
+    both = both.groupBy(*keys, "_t").agg(F.max(value).alias(value), F.max("_grid").alias("_grid")).withColumnRenamed("_t", "_w")
+    return fill_around(both, keys, {value: mode}).filter("_grid").drop("_grid")
+
+
+def gap_fill(df: DataFrame, keys: list[str], step: int, values: list[str], mode: str | dict[str, str], value: float | None = None, lo: Column | None = None, hi: Column | None = None) -> DataFrame:
+    """Rows for the empty buckets of each series between its first and last `_w`, or further to lo and hi, filled by mode
+    (one for all columns, or one for each by name; a column that isn't named stays empty).
 
     null leaves them empty; value sets a constant; prev and next repeat a neighbour; linear weighs both by distance in
     time; nearest takes the closer one, the earlier on a tie. What has no neighbour on a needed side stays null.
@@ -90,7 +103,9 @@ def gap_fill(df: DataFrame, keys: list[str], step: int, values: list[str], mode:
         return df
     bounds = df.groupBy(*keys).agg(F.min("_w").alias("_a"), F.max("_w").alias("_z"))
     if lo is not None:
-        bounds = bounds.withColumns({"_a": F.lit(lo), "_z": F.lit(hi)})
+        bounds = bounds.withColumn("_a", F.least("_a", lo))
+    if hi is not None:
+        bounds = bounds.withColumn("_z", F.greatest("_z", hi))
     grid = bounds.filter("_a is not null").select(*keys, F.explode(F.sequence("_a", "_z", F.lit(step))).alias("_w"))
     on = [*keys, "_w"]
     if keys:
@@ -99,16 +114,22 @@ def gap_fill(df: DataFrame, keys: list[str], step: int, values: list[str], mode:
         out = left.join(right, cond, "left").select(*[F.col(f"g.{k}") for k in on], *[F.col(f"d.{v}") for v in values])
     else:
         out = grid.join(df, "_w", "left").select("_w", *values)
-    if mode == "null":
-        return out
-    if mode == "value":
-        return out.withColumns({v: F.coalesce(v, F.lit(value)) for v in values})
+    return fill_around(out, keys, mode if isinstance(mode, dict) else dict.fromkeys(values, mode), value)
+
+
+def fill_around(out: DataFrame, keys: list[str], modes: dict[str, str], value: float | None = None) -> DataFrame:
+    """Fills the nulls of each named column, in the order of `_w` within a series."""
     # The next value is the last one in falling order: a growing frame takes one pass, a shrinking one would start anew
     # at every row.
     back, ahead = (_series(keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for order in (F.col("_w"), F.col("_w").desc()))
     filled = {}
-    for v in values:
+    for v, mode in modes.items():
         has = F.col(v).isNotNull()
+        if mode == "null":
+            continue
+        if mode == "value":
+            filled[v] = F.coalesce(v, F.lit(value))
+            continue
         p, n = F.last(v, True).over(back), F.last(v, True).over(ahead)
         if mode == "prev":
             filled[v] = p
@@ -124,4 +145,4 @@ def gap_fill(df: DataFrame, keys: list[str], step: int, values: list[str], mode:
                 filled[v] = F.when(has, F.col(v)).otherwise((F.coalesce(p, n) + F.coalesce(n, p)) / 2)
             else:
                 raise ValueError(f"unknown fill {mode}")
-    return out.withColumns(filled)
+    return out.withColumns(filled) if filled else out

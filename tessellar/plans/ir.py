@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 
@@ -42,6 +42,16 @@ class Agg:
     distinct: bool = False
 
 
+@dataclass(frozen=True)
+class Over:
+    """A function over a window of rows. frame: (kind, first, last) with offsets from the row, None where unbounded."""
+
+    call: Any
+    partition: tuple = ()
+    order: tuple = ()
+    frame: tuple | None = None
+
+
 @dataclass(frozen=True)
 class Item:
     expr: Any
@@ -57,11 +67,44 @@ class Key:
     nulls: str = ""
 
 
+def rewrite(e, change):
+    """The expression with change(part) for each part that it isn't None for, outermost first."""
+    new = change(e)
+    if new is not None:
+        return new
+    inside = lambda parts: tuple(rewrite(x, change) for x in parts)
+    if isinstance(e, (Op, Agg)):
+        return replace(e, args=inside(e.args))
+    if isinstance(e, (Item, Key)):
+        return replace(e, expr=rewrite(e.expr, change))
+    if isinstance(e, Over):
+        return replace(e, call=rewrite(e.call, change), partition=inside(e.partition), order=inside(e.order))
+    return e
+
+
+def parts(e):
+    """The expression and everything inside it."""
+    found = []
+    rewrite(e, found.append)
+    return found
+
+
 # Plans
 @dataclass(frozen=True)
 class Scan:
+    """final: only the last version of each key."""
+
     table: str
     alias: str = ""
+    final: bool = False
+
+
+@dataclass(frozen=True)
+class Alias:
+    """A plan with a name for its columns."""
+
+    child: Any
+    name: str
 
 
 @dataclass(frozen=True)
@@ -96,6 +139,9 @@ class Fill:
 
     mode: str = "none"
     value: float | None = None
+    modes: tuple[tuple[str, str], ...] = ()  # by column, where they differ
+    start: Any = None  # the grid reaches from here
+    end: Any = None  # to here, exclusively
 
 
 @dataclass(frozen=True)
@@ -121,10 +167,13 @@ class Windowed:
     keys: tuple[Item, ...]
     items: tuple[Item, ...]
     time: str = ""
+    having: Any = None
 
 
 @dataclass(frozen=True)
 class Join:
+    """By columns (on), or by any condition (where), in which names may be qualified."""
+
     left: Any
     right: Any
     how: str
@@ -207,6 +256,41 @@ class Series:
     keys: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class SeriesItems:
+    """Several such functions side by side, as items whose expressions are Op('series', (name, column, parameters...))."""
+
+    child: Any
+    items: tuple[Item, ...]
+    keys: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Rows:
+    """A function that gives rows for each group: sample, tail, histogram, statecount, stateduration or interp."""
+
+    child: Any
+    name: str
+    of: Any
+    params: tuple = ()
+    keys: tuple[Item, ...] = ()
+    alias: str = ""
+    items: tuple[Item, ...] = ()
+
+
+@dataclass(frozen=True)
+class Create:
+    """A new name: table (from columns or a query), child, view, collection, stream, topic, database or index."""
+
+    kind: str
+    name: str
+    columns: tuple = ()
+    source: Any = None
+    target: str = ""
+    options: tuple = ()
+    lenient: bool = False
+
+
 @dataclass(frozen=True)
 class Change:
     """A new version of a table: insert, update, delete or upsert."""

@@ -13,6 +13,12 @@ _LINE = r'^((?:[^\\ ]|\\.)+) ((?:[^\\ "]|\\.|"(?:[^"\\]|\\.)*")+)(?: (-?\d+))?\s
 
 
 def _pairs(text: Column, quoted: bool) -> Column:
+    """A map of the pairs. Text without quotes or escapes is split plainly, the rest piece by piece."""
+    plain = F.map_filter(F.str_to_map(text, F.lit(","), F.lit("=")), lambda k, v: v.isNotNull() & (k != ""))
+    return F.when(text.contains("\\") | text.contains('"'), _escaped_pairs(text, quoted)).otherwise(plain)
+
+
+def _escaped_pairs(text: Column, quoted: bool) -> Column:
     piece = r'((?:[^\\,="]|\\.)+=(?:[^\\,"]|\\.|"(?:[^"\\]|\\.)*")*)' if quoted else r"((?:[^\\,=]|\\.)+=(?:[^\\,]|\\.)*)"
     found = F.regexp_extract_all(text, F.lit(piece), F.lit(1))
     key = lambda x: F.regexp_replace(F.regexp_extract(x, r"^((?:[^\\=]|\\.)+)=", 1), r"\\(.)", "$1")
@@ -29,12 +35,15 @@ def line_protocol(lines: DataFrame, precision: str = "ns", text_col: str = "valu
         raise ValueError(f"unknown precision {precision}")
     line = F.trim(text_col)
     rows = lines.filter(F.length(line) > 0).filter(~F.substring(line, 1, 1).eqNullSafe("#")).select(line.alias("_l"))
-    part = lambda n: F.regexp_extract("_l", _LINE, n)
-    ok = F.col("_l").rlike(_LINE) & F.col("_l").contains("=")
+    # One match a line: its three parts, with a sign between them that no line may hold; a line without a match has one.
+    rows = rows.select("_l", F.split(F.regexp_replace("_l", _LINE, "$1\u0001$2\u0001$3"), "\u0001").alias("_p"))
+    part = lambda n: F.get("_p", F.lit(n - 1))
+    ok = (F.size("_p") == 3) & F.col("_l").contains("=") & ~F.col("_l").contains("\u0001")
     raw = F.when(part(3) != "", part(3).cast("long"))
     us = F.call_function("div", raw - F.pmod(raw, F.lit(1000)), F.lit(1000)) if PRECISION[precision] == 1_000 else raw if precision in ("us", "u") else raw * _MULTIPLE[precision]
-    name = F.regexp_replace(F.regexp_extract(part(1), r"^((?:[^\\,]|\\.)+)", 1), r"\\(.)", "$1")
-    tags = F.regexp_replace(part(1), r"^(?:[^\\,]|\\.)+,?", "")
+    escaped = part(1).contains("\\")
+    name = F.when(escaped, F.regexp_replace(F.regexp_extract(part(1), r"^((?:[^\\,]|\\.)+)", 1), r"\\(.)", "$1")).otherwise(F.substring_index(part(1), ",", 1))
+    tags = F.when(escaped, F.regexp_replace(part(1), r"^(?:[^\\,]|\\.)+,?", "")).otherwise(F.substring(part(1), F.length(F.substring_index(part(1), ",", 1)) + 2, F.length(part(1))))
     return rows.select(F.when(ok, name).alias("measurement"), F.when(ok, _pairs(tags, False)).alias("tags"), F.when(ok, _pairs(part(2), True)).alias("fields"), F.when(ok, us.cast("long")).alias("ts_us"), F.when(~ok, F.col("_l")).alias("bad"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import memory
+
 _A, _B, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -16,11 +18,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered by each worker; a full table becomes the old one, which is asked first."""
+    """64-bit hashes of words (bytes), remembered by each worker; a full table becomes the old one, which is asked first.
+    Long words are not remembered, so the table is bounded in bytes."""
 
-    most, old = 200_000, {}
+    most, longest, old = 200_000, 64, {}
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > self.longest:
+            return xxhash.xxh3_64_intdigest(word)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -30,7 +35,12 @@ class WordHashes(dict):
         self[word] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def of(self, words: list[bytes]) -> np.ndarray:
+        memory.holds(self.forget)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

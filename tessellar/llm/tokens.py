@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import memory
 from .common import arrow_schema, map_arrow, text_or_empty
 
 # Classes of the characters below U+0130, fixed values of Unicode; those of others come from the library:
@@ -30,6 +31,10 @@ _SPLITS = {
 }
 
 
+#: Longer pre-tokens are encoded anew each time, so that tables are bounded in bytes.
+LONGEST = 64
+
+
 class Cache(dict):
     """What a worker remembers: a full table becomes the old one, whose entries are taken over when they are met again."""
 
@@ -100,15 +105,18 @@ class PreTokens:
                 cls._plain[ord(c)] = _class(c)
         return cls._plain
 
+    def forget(self) -> None:
+        self.counts, self.packed = Cache(), Cache()
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def add(self, table: Cache, found: list[str], make, most: int) -> None:
-        """Encode the pre-tokens that table lacks. It holds `most` entries, and the old one as many."""
-        new = [p for p in set(found) if p not in table]
+        """Encode the pre-tokens that table lacks. It holds `most` entries, and the old one as many; long ones are not kept."""
+        new = [p for p in set(found) if p not in table and len(p) <= LONGEST]
         if len(table) + len(new) > most:
             table.turn()
-            new = list(set(found))
+            new = [p for p in set(found) if len(p) <= LONGEST]
         known = {p: table.old[p] for p in new if p in table.old}
         table.update(known)
         new = [p for p in new if p not in known]
@@ -119,24 +127,26 @@ class PreTokens:
         found = self.pieces(text)
         if found is None:
             return len(self.ids([text])[0])
+        memory.holds(self.forget)
         cache = self.counts
         try:
             return sum([frequent[p] if p in frequent else cache[p] for p in found])
         except KeyError:
             rare = [p for p in found if p not in frequent]
             self.add(cache, rare, len, most)
-            return sum([frequent[p] if p in frequent else cache[p] for p in found])
+            return sum([frequent[p] if p in frequent else cache[p] if p in cache else len(self.ids([p])[0]) for p in found])
 
     def encode(self, text: str, most: int) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         found = self.pieces(text)
         if found is None:
             return _pack(self.ids([text])[0])
+        memory.holds(self.forget)
         try:
             return b"".join(map(self.packed.__getitem__, found))
         except KeyError:
             self.add(self.packed, found, _pack, most)
-            return b"".join(map(self.packed.__getitem__, found))
+            return b"".join([self.packed[p] if p in self.packed else _pack(self.ids([p])[0]) for p in found])
 
 
 def _class(c: str) -> str:

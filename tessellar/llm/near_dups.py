@@ -189,8 +189,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col
     known = rows_in.filter("id is not null")
     signed_ = stage_table(signatures(rows_in, size, bands, rows), "signatures")
     sets = signed_.filter("id is not null and n > 0")
-    classes = sets.groupBy("a", "b").agg(F.min("id").alias("rep"))
-    member = stage_table(sets.select("id", "a", "b").join(classes, ["a", "b"]).select("id", "rep").distinct(), "classes")
+    classes = stage_table(sets.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    # Every copy looks up its class. Classes of more than a millionth of all rows are fewer than a million: they are
+    # broadcast, so that the copies of a large one stay where they are; the others are joined.
+    hot = F.col("n") > max(100, (classes.agg(F.sum("n")).first()[0] or 0) // 1_000_000)
+    looked = sets.select("id", "a", "b").join(F.broadcast(classes.filter(hot).select("a", "b", "rep")), ["a", "b"], "left")
+    rest = looked.filter("rep is null").select("id", "a", "b").join(classes.filter(~hot).select("a", "b", "rep"), ["a", "b"])
+    member = stage_table(looked.filter("rep is not null").select("id", "rep").unionAll(rest.select("id", "rep")).distinct(), "members")
     same = member.groupBy("id").agg(F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1).select(F.explode("reps").alias("u"), F.array_min("reps").alias("v")).filter("u != v")
 
     keyed = sets.join(member.filter("id = rep").select("id").distinct(), "id", "left_semi").select("id", F.explode("bands").alias("key")).distinct()

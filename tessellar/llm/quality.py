@@ -25,7 +25,7 @@ def statistics(text: Column) -> dict[str, Column]:
     """Counts of a whole text. Ratios are taken from them in `ratios`."""
     words = F.regexp_count(text, F.lit(WORD)).cast("double")
     return {
-        "chars": F.length(text) + F.lit(0.0) * F.rand(0),  # not deterministic to the optimiser, so that no filter on the score repeats the counting
+        "chars": F.length(text).cast("double"),
         "words": words,
         "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("double"),
         "digits": F.regexp_count(text, F.lit(r"\p{N}")).cast("double"),
@@ -41,6 +41,12 @@ RATIOS = {
 }
 
 
+def counted(df: DataFrame, keep: list[str], text: Column) -> DataFrame:
+    """The kept columns and the statistics of the text, which are counted once a row: a filter on what is made of them
+    goes no deeper than the generator that gives them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in statistics(text).items()]))))
+
+
 def ratios(df: DataFrame) -> DataFrame:
     return df.select("*", *[(F.col(a) / F.greatest(F.col(b), F.lit(1.0)) if b else F.col(a)).alias(f"f_{k}") for k, (a, b) in RATIOS.items()])
 
@@ -154,13 +160,15 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> RuleModel:
-    """Fit on at most `sample` labelled rows outside the held-out fold, those with the smallest hash of the id."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+    """Fit on at most `sample` labels outside the held-out fold, those with the smallest hash of the id. Repeated labels
+    count once; of several texts with one id, the one with the least statistics stands for all. Null labels, labels
+    with a null id and those without a document teach nothing."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).distinct()
     chosen = known.orderBy(F.xxhash64(F.col("id")), "id", "y").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = ratios(texts.select("id", "y", *[c.alias(k) for k, c in statistics(F.col("text")).items()]))
     names = list(RATIOS)
-    found = np.array(sorted(tuple(map(float, r)) for r in rows.select("id", "y", *[f"f_{k}" for k in names]).collect())).reshape(-1, len(names) + 2)
+    rows = ratios(counted(texts, ["id", "y"], F.col("text"))).groupBy("id", "y").agg(F.min(F.struct(*[f"f_{k}" for k in names])).alias("f"))
+    found = np.array(sorted(tuple(map(float, r)) for r in rows.select("id", "y", "f.*").collect())).reshape(-1, len(names) + 2)  # `sample` rows at most
     return fit(found[:, 2:], found[:, 1], names)
 
 
@@ -169,6 +177,6 @@ def score(docs: DataFrame, model: RuleModel, *, text_col: str = "text", threshol
     like these two are replaced; all others, whatever their names, stay as they are."""
     own = [c for c in docs.columns if c not in ("score", "predicted")]
     packed = docs.select(F.struct(*own).alias("_row"), text_or_empty(text_col).alias("_text"))
-    rows = ratios(packed.select("_row", *[c.alias(k) for k, c in statistics(F.col("_text")).items()]))
+    rows = ratios(counted(packed, ["_row"], F.col("_text")))
     scored = rows.select("_row", model.column().alias("score"))
     return scored.select("_row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -100,15 +100,17 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(lists.flatten(), np.float64).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample: int = 20_000, leaf_rows: int = 200, most_leaves: int = 4096, calibrate: int = 200, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample: int = 20_000, leaf_rows: int = 200, most_leaves: int = 4096, calibrate: int = 200, block: int = 4096, sample_bytes: int = 1 << 27) -> DataFrame:
     """The k nearest rows of `vectors` to each row of `queries` (ids not null), by Euclidean distance.
 
     Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the smaller id. A query is no candidate of
     its own: rows with its id are left out. Vectors that are null, zero, or hold null or non-finite components take no
     part, nor do those whose length is not the sample's most common; nor null ids. A query finds fewer than k only
-    where there are fewer. The index is fitted on the `sample` vectors with the smallest hash of the id, and leaf
-    visits are calibrated to `recall` on `calibrate` queries; every row is indexed. Hot leaves are searched in blocks
-    of about `block` rows and queries.
+    where there are fewer. Rows that share an id are one candidate, at its nearest vector found; of queries that share
+    an id the least vector asks. The index is fitted on the `sample` vectors with the smallest hash of the id, or fewer
+    where these are long (`sample_bytes` in all); leaf visits are calibrated to `recall` on `calibrate` rows that are
+    no queries, or on queries where there are no others; every row is indexed. Hot leaves are searched in blocks of
+    about `block` rows and queries.
     """
     spark = vectors.sparkSession
 
@@ -119,7 +121,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str
         return rows.filter(ok)
 
     rows, asked = sound(vectors), sound(queries)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # bounded by `sample`
+    widest = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(max(64, min(sample, sample_bytes // (8 * widest)))).collect()  # bounded by `sample` and `sample_bytes`
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not picked:
         return empty
@@ -137,9 +140,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str
     sizes = dict.fromkeys(range(tree.value.leaves), 0) | {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # most_leaves rows
 
     # Calibration: the leaves of exact neighbours, against the order in which the search would visit them.
-    trial = asked.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(calibrate).collect()
-    if not trial:
+    by_hash = lambda df: df.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(calibrate)
+    asked = stage_table(asked.groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
+    if asked.isEmpty():
         return empty
+    trial = by_hash(rows.join(asked.select("id"), "id", "left_anti")).collect() or by_hash(asked).collect()
     tq, tid = np.array([r.v for r in trial]), np.array([r.id for r in trial])
     send = spark.sparkContext.broadcast((tq, tid))
 
@@ -173,7 +178,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str
                     break
         return out
 
-    routed = stage_table(map_arrow(asked.dropDuplicates(["id"]), "id long, v array<double>, leaf int", route), "ann-visits")
+    routed = stage_table(map_arrow(asked, "id long, v array<double>, leaf int", route), "ann-visits")
     asks = {r.leaf: r.n for r in routed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # most_leaves rows
     parts = spark.createDataFrame([(leaf, -(-sizes[leaf] // block), -(-n // block)) for leaf, n in asks.items()], "leaf int, rb int, qb int")  # most_leaves rows
     spread = lambda df, mine, other: df.join(F.broadcast(parts), "leaf").withColumn(mine, F.pmod(F.xxhash64("id"), F.col(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
@@ -185,10 +190,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str
             x, ids = _matrix(rows.column("v").combine_chunks(), dim), np.asarray(rows.column("id"))
             q, qids = _matrix(asks.column("v").combine_chunks(), dim), np.asarray(asks.column("id"))
             norm = (x * x).sum(1)
+            repeated = len(np.unique(ids)) < len(ids)
             for lo in range(0, len(q), 256):
                 d = norm[None] - 2 * q[lo : lo + 256] @ x.T
                 for j, row in enumerate(d, lo):
                     row[ids == qids[j]] = np.inf
+                    if repeated:  # only the nearest row of an id counts
+                        by = np.lexsort((row, ids))
+                        row[by[1:][ids[by[1:]] == ids[by[:-1]]]] = np.inf
                     kth = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
                     near = np.flatnonzero((row <= kth + 1e-9 * (1 + abs(kth) + (q[j] ** 2).sum())) & np.isfinite(row))
                     score = np.sqrt(((x[near] - q[j]) ** 2).sum(1))
@@ -199,4 +208,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str
     keys = ["leaf", "rb", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,8 +1,9 @@
 """WARC archives with a two-level capture index (operator 9).
 
 Records are compressed one by one, so each can be read alone. The index holds a line for each capture, sorted by
-reversed-host key and packed into compressed blocks; a sparse directory has each block's first key and place. A lookup
-finds its block in the directory by binary search, its line in the block by another, and reads one range of an archive.
+reversed-host key and packed into compressed blocks of a constant number of lines; a sparse directory has each block's
+first and last key and its place, and is a table in sorted files. Wishes meet the stretch of the directory that they
+fall into, find their blocks there by binary search, their lines in a block by another, and read one range of an archive.
 """
 
 from __future__ import annotations
@@ -125,27 +126,29 @@ class Writer:
 
 @dataclass(frozen=True)
 class Archive:
-    """folder: of the archives; directory: a row for each index block (first, file, offset, length), bounded in number."""
+    """folder: of the archives; directory: a row for each index block (first, last, file, offset, length); size: the bytes
+    of all records."""
 
     folder: str
     directory: DataFrame
+    size: int
 
 
 _CAPTURE = "key string, page_id long, file string, offset long, length long"
 
 
-def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z", block_lines: int = 512, directory_rows: int = 50_000) -> Archive:
+def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z", block_lines: int = 512) -> Archive:
     """Write a record for each row, and the index.
 
-    Of rows with equal payloads of at least `least` bytes that with the smallest id is the response and the others
+    Payloads are equal if their SHA-256 is. Of rows with equal payloads of at least `least` bytes that with the smallest id is the response and the others
     revisit it; all smaller payloads are responses. A null body is an empty payload; a null id counts as the largest
     and is never referred to unless all of its group are null (then all are responses); rows that repeat the smallest
     id are all responses; a null URL has the key '-'. Other columns are left out. An empty table gives an empty
-    archive. Blocks grow with the table beyond `directory_rows` of them, so the directory stays bounded.
+    archive. A block has `block_lines` lines however large the table is.
     """
     spark, root = pages.sparkSession, fresh_path(pages.sparkSession, "warc")
     body = text_or_empty(body_col)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).cast("long").alias("size"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), F.sha2(body.cast("binary"), 256).alias("sha"), F.octet_length(body).cast("long").alias("size"))
     groups = rows.filter(F.col("size") >= least).groupBy("sha", "size").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "url")).alias("first"))
     shared = groups.filter("n > 1").select("sha", "size", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
     joined = rows.join(shared, ["sha", "size"], "left").select("id", "url", "body", F.when(F.col("first_id") < F.coalesce("id", F.lit(2**63 - 1)), F.col("first_id")).alias("refers"), "first_url")
@@ -161,8 +164,7 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
         out.close()
 
     captures = stage_table(joined.mapInArrow(write, _CAPTURE), "captures")
-    total = captures.count()
-    lines = max(block_lines, -(-total // directory_rows))
+    size = captures.agg(F.sum("length")).first()[0] or 0
     entry = "first string, last string, file string, offset long, length long"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,7 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
         for batch in batches:
             for line, file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append((line, file, str(offset), str(length)))
-                if len(held) == lines:
+                if len(held) == block_lines:
                     flush()
         flush()
         out.close()
@@ -185,37 +187,68 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     line = F.concat_ws(" ", "key", F.coalesce(F.col("page_id").cast("string"), F.lit("-")))
     laid = captures.select(line.alias("line"), "file", "offset", "length").repartitionByRange("line", "file", "offset").sortWithinPartitions("line", "file", "offset")
-    return Archive(root, stage_table(laid.mapInArrow(index, entry), "index-directory"))
+    return Archive(root, stage_table(laid.mapInArrow(index, entry), "index-directory"), size)
 
 
-def lookup(archive: Archive, wanted: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _stretches(directory: DataFrame, most: int) -> list[str]:
+    """Keys that part the directory into about `most` stretches of like size, or fewer: first keys of blocks, by hash."""
+    every = max(1, directory.count() // most)
+    chosen = directory.filter(F.pmod(F.xxhash64("first", "file", "offset"), F.lit(every)) == 0)
+    return sorted({r.first_ for r in chosen.select(F.col("first").alias("first_")).collect()})  # about `most` keys
+
+
+def lookup(archive: Archive, wanted: DataFrame, *, id_col: str = "page_id", url_col: str = "url", stretches: int = 4096, task_bytes: int = 16_000_000) -> DataFrame:
     """Every capture of the wanted (url, id) pairs, read from the archives: page_id, payload_bytes, payload_digest,
-    record_type, refers_to, url, payload. Repeated wishes count once; a pair without captures gives no row."""
+    record_type, refers_to, url, payload. Repeated wishes count once; a pair without captures gives no row.
+
+    At most about `stretches` keys of the directory reach the driver and the tasks. A task reads about `task_bytes` of
+    records; the captures of one key that has very many lie in many blocks, which go to different tasks."""
     spark = wanted.sparkSession
-    blocks = sorted(map(tuple, archive.directory.collect()))  # bounded by directory_rows
-    table = spark.sparkContext.broadcast(([b[0] for b in blocks], [b[1] for b in blocks], blocks))
+    tops = spark.sparkContext.broadcast(_stretches(archive.directory, stretches))
     asked = wanted.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url")).distinct()
-
-    def find(batch: pa.RecordBatch) -> dict:
-        firsts, lasts, _ = table.value
-        out: dict[str, list] = {"block": [], "line": []}
-        for key, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            line = _line_key(surt(url), key)
-            for b in range(bisect_left(lasts, line), bisect_right(firsts, line)):
-                out["block"].append(b)
-                out["line"].append(line)
+    place = "stretch int, kind int, line string, last string, file string, offset long, length long"
+
+    def wish(batch: pa.RecordBatch) -> dict:
+        lines = [_line_key(surt(url), key) for key, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        none = [None] * len(lines)
+        return {"stretch": [bisect_right(tops.value, x) for x in lines], "kind": [1] * len(lines), "line": lines, "last": none, "file": none, "offset": none, "length": none}
+
+    def block(batch: pa.RecordBatch) -> dict:
+        """A block stands in every stretch that its keys reach into."""
+        out: dict[str, list] = {n: [] for n in ("stretch", "kind", "line", "last", "file", "offset", "length")}
+        for first, last, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            for stretch in range(bisect_right(tops.value, first), bisect_right(tops.value, last) + 1):
+                for name, v in zip(out, (stretch, 0, first, last, *rest)):
+                    out[name].append(v)
         return out
 
+    both = map_arrow(archive.directory.select("first", "last", "file", "offset", "length"), place, block).unionAll(map_arrow(asked, place, wish))
+    laid = both.repartition("stretch").sortWithinPartitions("stretch", "kind", "line")
+    hit = "file string, offset long, length long, line string"
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, firsts, lasts, places, kinds = None, [], [], [], arrow_schema(hit)
+        for batch in batches:
+            out: list[tuple] = []
+            for stretch, kind, line, last, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if stretch != at:
+                    at, firsts, lasts, places = stretch, [], [], []
+                if kind == 0:
+                    firsts.append(line), lasts.append(last), places.append(rest)
+                    continue
+                out += [(*places[b], line) for b in range(bisect_left(lasts, line), bisect_right(firsts, line))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, kinds, at, keys, lines = Files(), arrow_schema(schema), None, [], []
         for batch in batches:
             places = set()
-            for b, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if b != at:
-                    at, (_, _, file, offset, length) = b, table.value[2][b]
-                    lines = [x.split("\t") for x in zlib.decompress(files.read(file, offset, length)).decode().split("\n")]
+            for *block_at, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if block_at != at:
+                    at = block_at
+                    lines = [x.split("\t") for x in zlib.decompress(files.read(*block_at)).decode().split("\n")]
                     keys = [x[0] for x in lines]
                 for k in range(bisect_left(keys, line), bisect_right(keys, line)):
                     places.add((lines[k][1], int(lines[k][2]), int(lines[k][3])))
@@ -228,5 +261,6 @@ def lookup(archive: Archive, wanted: DataFrame, *, id_col: str = "page_id", url_
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in kinds], schema=kinds)
 
-    found = map_arrow(asked, "block int, line string", find).distinct()
-    return found.repartition("block").sortWithinPartitions("block", "line").mapInArrow(read, schema)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-archive.size // task_bytes))
+    found = laid.mapInArrow(find, hit).repartition(tasks, "file", "offset").sortWithinPartitions("file", "offset", "line")
+    return found.mapInArrow(read, schema)

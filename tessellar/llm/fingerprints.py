@@ -99,7 +99,7 @@ def _compared(key: int | None, text: str, mark: str, after: str, after_mark: str
     return key, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, changed, likeness(mark, changed), likeness(mark, after_mark)
 
 
-def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 64_000_000) -> DataFrame:
+def compare_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 16_000_000) -> DataFrame:
     """Fingerprint every whole text and its edited text, and compare both neighbours of each edit.
 
     The edited text keeps the first ceil(n/2) code points and goes on with the first floor(n/2) (or all) of the next

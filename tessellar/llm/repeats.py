@@ -73,13 +73,14 @@ def _window_rows(texts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple] = []
-            for key, u, data, found in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes = WORDS.of(data.split())
-                spans = Spans(hashes)
-                for a in found:
-                    p = np.arange(a["lo"], a["hi"] + 1)
-                    n = len(p)
-                    parts.append((np.full(n, key), np.full(n, u), np.full(n, a["g"]), signed(spans.hash(p, p + window)), p.astype(np.int32)))
+            found = batch.column(3)
+            cuts, each = found.offsets.to_pylist(), {name: found.values.field(name).to_numpy() for name in ("g", "lo", "hi")}
+            for key, u, data, start, end in zip(*(c.to_pylist() for c in batch.columns[:3]), cuts, cuts[1:]):
+                lo, n = each["lo"][start:end], each["hi"][start:end] - each["lo"][start:end] + 1
+                total, before = int(n.sum()), np.cumsum(n) - n
+                p = np.repeat(lo - before, n) + np.arange(total)
+                spans = Spans(WORDS.of(data.split()))
+                parts.append((np.full(total, key), np.full(total, u), np.repeat(each["g"][start:end], n), signed(spans.hash(p, p + window)), p.astype(np.int32)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=arrow_schema(schema))
 
@@ -91,29 +92,32 @@ def _runs(spots: DataFrame, window: int) -> DataFrame:
     schema = "id long, u long, src long, su long, at int, src_at int, n int"
 
     def step(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {part.split()[0]: [] for part in schema.split(", ")}
-        for key, u, found in zip(*(c.to_pylist() for c in batch.columns)):
-            held = None
-            for src, su, shift, lo, hi in sorted((r["src"], r["su"], r["src_lo"] - r["lo"], r["lo"], r["hi"]) for r in found):
-                if held and held[:3] == [src, su, shift] and lo <= held[4] + 1:
-                    held[4] = max(held[4], hi)
-                    continue
-                if held:
-                    _put(out, key, u, held, window)
-                held = [src, su, shift, lo, hi]
-            if held:
-                _put(out, key, u, held, window)
-        return out
-
+        found = batch.column(2)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
+        held = found.flatten()
+        src, su, lo, hi, src_lo = (held.field(name).to_numpy().astype(np.int64) for name in ("src", "su", "lo", "hi", "src_lo"))
+        shift = src_lo - lo
+        order = np.lexsort((lo, shift, su, src, row))
+        row, src, su, shift, lo, hi = (v[order] for v in (row, src, su, shift, lo, hi))
+        other = np.ones(len(row), bool)  # a row that begins another document, source or shift
+        if len(row):
+            other[1:] = (row[1:] != row[:-1]) | (src[1:] != src[:-1]) | (su[1:] != su[:-1]) | (shift[1:] != shift[:-1])
+        # The furthest window so far of each such group: numbers of groups, above all windows, keep them apart.
+        group = np.cumsum(other) << np.int64(32)
+        furthest = np.maximum.accumulate(group + hi) - group if len(row) else hi
+        new = other.copy()
+        new[1:] |= lo[1:] > furthest[:-1] + 1
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(row))[: len(starts)] - 1
+        row, lo = row[starts], lo[starts]
+        n = furthest[ends] - lo + window
+        key, u = (batch.column(k).to_numpy()[row] for k in (0, 1))
+        return dict(zip(names, (key, u, src[starts], su[starts], lo.astype(np.int32), (lo + shift[starts]).astype(np.int32), n.astype(np.int32))))
+
+    names = [part.split()[0] for part in schema.split(", ")]
     return map_arrow(spots.groupBy("id", "u").agg(F.collect_list(F.struct("lo", "hi", "src", "su", "src_lo")).alias("found")), schema, step)
 
 
-def _put(out: dict[str, list], key: int, u: int, held: list[int], window: int) -> None:
-    src, su, shift, lo, hi = held
-    for name, v in zip(out, (key, u, src, su, lo, lo + shift, hi - lo + window)):
-        out[name].append(v)
-
-
 class Shard:
     """The passages of some documents, and an automaton over their anchoring phrases. Its letters are words: each word of
     the passages has a number, all other words are 0.

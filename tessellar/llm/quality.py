@@ -68,6 +68,13 @@ class RuleModel:
         total = reduce(lambda a, b: a + b, [F.when(holds(r), F.lit(w)).otherwise(F.lit(0.0)) for r, w in self.weights.items()], F.lit(self.base))
         return 1 / (1 + F.exp(-total))
 
+    def predict(self, x: np.ndarray, names: list[str]) -> np.ndarray:
+        """The score of rows of features, for choosing among settings on the driver."""
+        total = np.full(len(x), self.base)
+        for rule, w in self.weights.items():
+            total += w * reduce(np.logical_and, [(x[:, names.index(f)] > t) == above for f, above, t in rule])
+        return 1 / (1 + np.exp(-total))
+
 
 def _grow(x: np.ndarray, gradient: np.ndarray, rows: np.ndarray, cuts: list[np.ndarray], features: np.ndarray, depth: int, least: int) -> tuple[list[tuple], np.ndarray]:
     """A regression tree: its paths as [(feature, above, threshold), ...], and its prediction for all rows of x."""
@@ -121,8 +128,9 @@ def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tu
     return old_b, old
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], *, trees: int = 20, depth: int = 3, penalty: float = 1e-3, seed: int = 7) -> RuleModel:
-    """Without labels every score is one half; with labels of one kind only, their (smoothed) rate."""
+def fit(x: np.ndarray, y: np.ndarray, names: list[str], *, trees: int = 20, depth: int = 3, penalty: float = 5e-4, seed: int = 7) -> RuleModel:
+    """Without labels every score is one half; with labels of one kind only, their (smoothed) rate. The defaults for
+    trees and penalty are what choose() gives for the training labels of sf0.1."""
     n = len(y)
     if n == 0:
         return RuleModel(0.0, {})
@@ -154,6 +162,22 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], *, trees: int = 20, dept
     return RuleModel(intercept, {tuple((names[f], above, t) for f, above, t in p): float(v) for p, v in zip(kept, w) if abs(v) > 1e-6})
 
 
+def choose(x: np.ndarray, y: np.ndarray, names: list[str], settings: list[dict], folds: int = 5, seed: int = 3) -> dict:
+    """Of the settings whose log loss over folds of the training rows is within one standard error of the best, the one
+    with the fewest rules (the first of several). Rows that learning never sees take no part."""
+    fold, found = np.random.default_rng(seed).integers(0, folds, len(y)), []
+    for options in settings:
+        loss, rules = [], []
+        for k in range(folds):
+            model, at = fit(x[fold != k], y[fold != k], names, **options), fold == k
+            p = np.clip(model.predict(x[at], names), 1e-9, 1 - 1e-9)
+            loss.append(-float(np.mean(np.where(y[at] == 1, np.log(p), np.log(1 - p)))))
+            rules.append(len(model.weights))
+        found.append((float(np.mean(loss)), float(np.std(loss, ddof=1)) / folds**0.5, float(np.mean(rules))))
+    best, error, _ = min(found)
+    return settings[min((rules, k) for k, (loss, _, rules) in enumerate(found) if loss <= best + error)[1]]
+
+
 def held_out(id_col: str) -> Column:
     """The fold that learning never sees: crc32 of the id as text, modulo 5, is 0. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -146,6 +146,21 @@ def test_scores_from_texts_to_rules(spark, make):
         assert abs(got[k] - 1 / (1 + math.exp(-z))) < 1e-12
 
 
+def test_settings_are_chosen_by_folds_of_the_rows_given():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 2))
+    y = (x[:, 0] > 0.5).astype(float)
+    usual, mute = {"trees": 5, "penalty": 1e-3}, {"trees": 5, "penalty": 10.0}  # the second keeps no rule
+    assert quality.choose(x, y, ["a", "b"], [mute, usual]) == usual
+    assert quality.choose(x, y, ["a", "b"], [usual, dict(usual)]) is not None
+    noise = rng.integers(0, 2, 400).astype(float)
+    assert quality.choose(x, noise, ["a", "b"], [usual, mute]) == mute  # nothing to learn: no rules
+    model = quality.fit(x, y, ["a", "b"], **usual)
+    assert np.mean((model.predict(x, ["a", "b"]) >= 0.5) == (y == 1)) > 0.97
+
+
 def test_repeated_labels_and_documents_teach_once(spark, make):
     rows = [(k, "good words here. " * 5 if k % 2 else "!!! ### $$$ " * 9) for k in range(60)]
     labels = [(k, k % 2) for k in range(60)]

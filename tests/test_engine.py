@@ -176,6 +176,8 @@ def test_durations():
         ('SELECT MEAN("usage") FROM "cpu" WHERE time > now() - 1h GROUP BY time(5m)', "influxql"), ('from(bucket: "db") |> range(start: -1h)', "flux"), ("SELECT avg(v) FROM meters INTERVAL(10m)", "tdengine"), ("SELECT time_bucket('5 minutes', ts), avg(v) FROM c GROUP BY 1", "timescale"),
         ("SELECT avg(p) FROM trades SAMPLE BY 1h", "questdb"), ("SELECT toStartOfHour(ts), count() FROM hits GROUP BY 1", "clickhouse"), ("SELECT TIME_FLOOR(__time, 'PT1H'), COUNT(*) FROM w GROUP BY 1", "druid"), ('{"queryType": "timeseries", "dataSource": "w"}', "druid_native"),
         ('{"queries": [{"metric": "m", "aggregator": "sum"}]}', "opentsdb"), ("summarize(servers.*.cpu, '1h', 'avg')", "graphite"), ('{"find": "users"}', "jql"), ("find all users where age is greater than 3", "nql"), ("SELECT a FROM b", "sql"),
+        ("SELECT sum(x), median(y) FROM t GROUP BY z", "sql"), ("alias(foo, 'x')", "graphite"), ("sum(rate(x[5m])) / 2", "promql"), ("rate(x[5m]) keep_metric_names", "metricsql"), ("SELECT * FROM users WHERE name CONTAINS 'a'", "lql"),
+        ("SHOW MEASUREMENTS", "influxql"), ("how many orders", "nql"), ("SELECT a FROM t LATEST ON ts PARTITION BY b", "questdb"), ("SELECT a FROM t LIMIT 2 BY b", "clickhouse"), ('{"aggregate": "t", "pipeline": []}', "jql"),
     ],
 )
 def test_detection(query, dialect):

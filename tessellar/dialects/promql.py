@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros as us
+from ..operators.aggregates import sums
 from ..plans.durations import micros
 from ..plans.grammar import ParseError
 
@@ -326,7 +327,9 @@ class Evaluator:
         if e.name == "count_values":
             name = e.param.value
             return df.groupBy(*keys, F.col("v").cast("string").alias(name)).agg(F.count("*").cast("double").alias("v")), [*keep, name]
-        fns = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": lambda c: F.count(c).cast("double"), "stddev": F.stddev_pop, "stdvar": F.var_pop, "group": lambda c: F.lit(1.0), "median": lambda c: F.percentile(c, 0.5), "quantile": lambda c: F.percentile(c, self.number(e.param))}
+        if e.name == "sum":
+            return sums(df.select(*keys, "v"), keys, "v"), keep
+        fns = {"avg": F.avg, "min": F.min, "max": F.max, "count": lambda c: F.count(c).cast("double"), "stddev": F.stddev_pop, "stdvar": F.var_pop, "group": lambda c: F.lit(1.0), "median": lambda c: F.percentile(c, 0.5), "quantile": lambda c: F.percentile(c, self.number(e.param))}
         return df.groupBy(*keys).agg(fns[e.name]("v").alias("v")), keep
 
     def by_name(self, e) -> bool:

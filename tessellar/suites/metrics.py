@@ -337,10 +337,11 @@ registered("graphite_moving_median", "graphite", "movingMedian(summarize(events.
 
 @query("hll_sketch_merge", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def _(e, sf):
-    """Sketches of each day, merged. With 2**14 registers a group of so few users is counted without error."""
+    """Parts of each day, merged. The SQL counts exactly, which a sketch of 2**14 registers does for a few thousand users at
+    most: the parts are the distinct users themselves."""
     ev = e.catalog.frame("events").withColumn("day", F.to_date("ts"))
-    merged = aggregates.merge_sketches(aggregates.sketch(ev, ["event_type", "day"], "user_id"), ["event_type"])
-    return merged.withColumnRenamed("estimate", "users")
+    merged = aggregates.merge_distinct(aggregates.distinct_parts(ev, ["event_type", "day"], "user_id"), ["event_type"], "user_id")
+    return merged.withColumnRenamed("n", "users")
 
 
 @query("cdc_difference", "SELECT r_regionkey, CASE WHEN r_regionkey = 99 THEN 'insert' WHEN r_name = 'ASIA' THEN 'update' ELSE 'delete' END AS op FROM (SELECT * FROM region UNION ALL SELECT 99, 'Moon') WHERE r_regionkey = 99 OR r_name IN ('ASIA', 'AFRICA')")

@@ -7,6 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tessellar import catalogue
 from tessellar.catalog import Catalog
 from tessellar.dialects import detect, english, flux, printers, promql, requests, sql, targets
 from tessellar.engine import Engine
@@ -139,6 +140,15 @@ def test_aggregates(spark):
     assert one("ELAPSED(value)", [0, 0, 0]) == 2000 and one("DERIVATIVE(value)", [0, 1, 4]) == 2
 
 
+def test_merged_days_count_every_user_once(spark, tmp_path):
+    rows = spark.range(24_000).select(F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(id % 3)").alias("ts"), F.expr("if(id % 4000 = 7, NULL, id % 12000)").alias("user_id"), F.expr("if(id % 4000 = 7, 'none', if(id % 2 = 0, 'view', 'click'))").alias("event_type"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_type: r.users for r in catalogue.queries()["hll_sketch_merge"](spark, str(tmp_path)).collect()}
+    assert got == {"view": 6000, "click": 5997, "none": 0}
+    estimates = aggregates.merge_sketches(aggregates.sketch(rows, ["event_type", "ts"], "user_id"), ["event_type"])
+    assert all(abs(r.estimate - got[r.event_type]) <= 0.05 * got[r.event_type] for r in estimates.collect())
+
+
 def test_time_weighted_mean_and_rates(spark):
     df = spark.createDataFrame([(at(0), 0.0), (at(1000), 10.0)], "ts timestamp_ntz, v double")
     r = series.counter_stats(df, [], "ts", "v").first()

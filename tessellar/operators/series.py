@@ -52,19 +52,21 @@ def counter_stats(df: DataFrame, keys: list[str], ts: str, v: str, ties: list[st
     """For each series: increase, rate, irate, delta, idelta, resets, changes, deriv (least squares), twa, elapsed_ms.
 
     Rates are for each second between the first and last sample, without extrapolation; twa is the trapezoidal
-    time-weighted mean, of a single row its value.
+    time-weighted mean, of a single row its value. irate and idelta are the last there are: rows at the time of the row before
+    have no irate. delta is between the first and last values, and what has no value has no place in any of these.
     """
     w = series(keys, ts, ties)
     t = micros(ts)
     df = df.select(*keys, F.col(ts).alias("_ts"), F.col(v).alias("_v"), t.alias("_t"), rise(v, w).alias("_rise"), difference(v, w).alias("_d"), (t - F.lag(t).over(w)).alias("_dt"), F.lag(v).over(w).alias("_p"), *[F.col(x).alias(f"_tie_{x}") for x in ties])
     order = F.struct("_t", *[f"_tie_{x}" for x in ties])
-    span = (F.max("_t") - F.min("_t")) / 1e6
-    first, last = F.min_by("_v", order), F.max_by("_v", order)
+    span = F.max("_t") - F.min("_t")
+    latest = lambda x: F.max_by(x, F.when(x.isNotNull(), order))
+    first, last = F.min_by("_v", F.when(F.col("_v").isNotNull(), order)), latest(F.col("_v"))
     secs = F.col("_t") / 1e6
     return df.groupBy(*keys).agg(
-        F.sum("_rise").alias("increase"), F.try_divide(F.sum("_rise"), span).alias("rate"), F.max_by(F.try_divide(F.col("_rise"), F.col("_dt") / 1e6), order).alias("irate"),
-        (last - first).alias("delta"), F.max_by("_d", order).alias("idelta"), F.sum((F.col("_d") < 0).cast("long")).alias("resets"), F.sum((F.col("_d") != 0).cast("long")).alias("changes"),
-        F.regr_slope("_v", secs).alias("deriv"), F.coalesce(F.try_divide(F.sum((F.col("_v") + F.col("_p")) / 2 * F.col("_dt")), F.sum("_dt")), last).alias("twa"), (span * 1000).cast("long").alias("elapsed_ms"),
+        F.sum("_rise").alias("increase"), F.try_divide(F.sum("_rise"), span / 1e6).alias("rate"), latest(F.try_divide(F.col("_rise"), F.col("_dt") / 1e6)).alias("irate"),
+        (last - first).alias("delta"), latest(F.col("_d")).alias("idelta"), F.sum((F.col("_d") < 0).cast("long")).alias("resets"), F.sum((F.col("_d") != 0).cast("long")).alias("changes"),
+        F.regr_slope("_v", secs).alias("deriv"), F.coalesce(F.try_divide(F.sum((F.col("_v") + F.col("_p")) / 2 * F.col("_dt")), F.sum("_dt")), last).alias("twa"), F.floor(span / 1000).alias("elapsed_ms"),
     )
 
 

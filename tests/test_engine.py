@@ -160,6 +160,13 @@ def test_time_weighted_mean_and_rates(spark):
     assert single.twa is not None and single.rate is None
 
 
+def test_counters_of_rows_at_one_time_and_whole_milliseconds(spark):
+    rows = [(0, 1.0, 0), (1000, 3.0, 1), (3000, 7.0, 2), (3000, 9.0, 3), (1_056_733_711, None, 4)]
+    df = spark.createDataFrame([(at(ms), v, k) for ms, v, k in rows], "ts timestamp_ntz, v double, k int")
+    r = series.counter_stats(df, [], "ts", "v", ["k"]).first()
+    assert (r.irate, r.idelta, r.delta, r.elapsed_ms) == (2.0, 2.0, 8.0, 1_056_733_711)
+
+
 def test_rolling_and_smoothing(spark):
     df = spark.createDataFrame([(k, float(k)) for k in range(1, 6)], "t int, v double")
     w = series.series([], "t")

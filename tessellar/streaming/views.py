@@ -59,10 +59,15 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: s
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process all that is there and give the result as a table in memory: for checks, not for large results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Process all that is there and give the result as a view of files beside the checkpoint. The tasks write them, so that
+    nothing of the result passes the driver; a batch done again replaces its files. In complete mode the last batch is the whole."""
+    out = f"{checkpoint}-result"
+    place = (lambda batch: out) if mode == "complete" else lambda batch: f"{out}/{batch}"
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(place("start"))
+    each_batch(stream, lambda df, batch: df.write.mode("overwrite").parquet(place(batch)), checkpoint, mode).awaitTermination()
+    df = stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
+    df.createOrReplaceTempView(name)
+    return df
 
 
 def into(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", every: str | None = None) -> StreamingQuery:

@@ -16,6 +16,7 @@ from tessellar.plans import ir
 from tessellar.plans.durations import micros
 from tessellar.plans.grammar import ParseError
 from tessellar.sources import text as lines
+from tessellar.streaming import views
 
 EPOCH = datetime.datetime(1970, 1, 1)
 
@@ -407,3 +408,19 @@ def test_promql_fixed_times_steps_and_rollups(spark):
     for bad in ("m @", "m @ x", "sum(m) @ 60"):
         with pytest.raises(ParseError):
             promql.parse(bad)
+
+
+def test_streams_write_their_results_by_tasks(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).selectExpr("id", "id % 4 AS g").coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    stream = lambda: views.read(spark, str(tmp_path / "rows"), "id long, g long", files_per_trigger=1)
+    whole = views.run_once(views.view(stream(), ["g"], [F.count("*").alias("n")]), "whole", "complete", f"file://{tmp_path}/a")
+    assert {(r.g, r.n) for r in whole.collect()} == {(0, 8), (1, 8), (2, 7), (3, 7)} and whole.inputFiles() and spark.table("whole").count() == 4
+    for more in (0, 5):  # the second run goes on where the first one ended
+        if more:
+            spark.range(30, 30 + more).selectExpr("id", "id % 4 AS g").coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+        rows = views.run_once(stream().filter("g < 2"), "rows", "append", f"file://{tmp_path}/b")
+        assert sorted(r.id for r in rows.collect()) == [k for k in range(30 + more) if k % 4 < 2] and rows.inputFiles()
+    (tmp_path / "none").mkdir()
+    none = views.run_once(views.read(spark, str(tmp_path / "none"), "id long"), "none", "append", f"file://{tmp_path}/c")
+    assert none.columns == ["id"] and none.count() == 0

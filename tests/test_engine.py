@@ -345,6 +345,22 @@ def test_knn_batch_answers_every_query(spark, most):
     assert got == {(q, k + 1): ids[k] for q, ids in near.items() for k in range(2)}
 
 
+@pytest.mark.parametrize(("metric", "most"), [("l2", 10_000), ("l2", 30), ("l2_squared", 30), ("cosine", 10_000), ("dot", 30), ("inner_product", 10_000), ("manhattan", 30)])
+def test_knn_batch_is_exact_to_the_last_digit(spark, metric, most):
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, [round(rng.gauss(0, 1), 1) for _ in range(3)] if i % 3 else [rng.gauss(5, 1e-7) for _ in range(3)]) for i in range(400)]  # ties, and near ties
+    rows += [(i, list(rows[i % 400][1])) for i in range(400, 440)] + [(-1, None), (-2, [1.0, None, 2.0]), (440, None), (441, [0.0, 0.0, 0.0]), (442, [1e200, -1e200, 0.0]), (443, [1e200, -1e200, 0.0]), (444, [1e-25, 1e-25, 0.0]), (445, [2e-25, 1e-25, 0.0]), (446, [3.0]), (447, [4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ask = df.filter("vec_id % 5 = 0 OR vec_id > 438")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.distance) for r in vector.knn_batch(df, ask, "embedding", "vec_id", 3, metric, most).collect())
+    pairs = df.crossJoin(ask.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))).filter("vec_id != query_id").withColumn("d", vector.METRICS[metric](F.col("embedding"), F.col("q")))
+    order = F.sort_array(F.collect_list(F.struct(F.col("d").isNull().alias("none"), "d", "vec_id")))
+    want = sorted((r.query_id, k + 1, x.vec_id, x.d) for r in pairs.groupBy("query_id").agg(F.slice(order, 1, 3).alias("a")).collect() for k, x in enumerate(r.a))
+    assert str(got) == str(want)
+
+
 def test_druid_reads_every_interval(spark):
     rows = [(at(h * 3_600_000), "ab"[h % 2], float(h)) for h in range(10)]
     c = Catalog(spark).add("w", spark.createDataFrame(rows, "ts timestamp, k string, value double"), time="ts", value="value", tags=("k",))
